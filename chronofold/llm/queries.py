@@ -20,7 +20,15 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file_report(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"))
 
 
+def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of documents packed into sequences of 1024 tokens."""
+    from chronofold.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+
+
 QUERIES = {
+    "op4_pack_sequences": op4_pack_sequences,
     "op8_token_files": op8_token_files,
 }
 
