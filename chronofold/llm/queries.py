@@ -27,11 +27,21 @@ def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
 
 
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row that stays for its text."""
+    from chronofold.llm.exact_dedup import duplicate_report
+
+    return duplicate_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op6_exact_dedup": op6_exact_dedup,
     "op4_pack_sequences": op4_pack_sequences,
     "op8_token_files": op8_token_files,
 }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from chronofold.llm.exact_dedup import DUPLICATE_SQL
+
+    return {"op6_exact_dedup": DUPLICATE_SQL}
