@@ -18,6 +18,16 @@ CACHE_ENTRIES = 800_000
 _ODD_SPACE = re.compile(r"[^\S \n]|  | \n|\n |\n\n\n|^[ \n]|[ \n]\Z")
 
 
+#: Stands between words; no word of letters has it.
+MARK = "!"
+#: Below this, lower case and composed forms are the same for Python and the tokenizer.
+LATIN_END = "\u0130"
+#: Byte-level vocabularies write a byte that is not printable as the next free character from U+0100 on.
+_PRINTED = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTE_CHARS = {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
+BYTE_CHARS.pop(32)
+
+
 class WordEncoder:
     """Encodes texts to little-endian uint32 ids, add_special_tokens=False, special strings as plain text.
 
@@ -25,34 +35,44 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, spaces_count: bool, entries: int = CACHE_ENTRIES):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
         self.spaces_count, self.entries = spaces_count, entries
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.mark = self.merges.encode(MARK, add_special_tokens=False).ids[0]
+        self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0] if spaces_count else None
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {} if spaces_count else self.first
+        #: The previous generation: words in use move back from it.
+        self.old_first: dict[str, bytes] = {}
+        self.old_later: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids straight from the tokenizer."""
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _words(self, words: list[str], lead: str) -> list[bytes]:
-        """Ids of each word, from a few long texts in which a mark stands between words."""
-        mark = "\n" if self.spaces_count else " \x01 "
-        end = self.whole([mark])[0]
-        plain = [w for w in words if w.isprintable()]
+        """Ids of each word, from a few long texts in which a mark stands behind each word.
+
+        Where white space is dropped, words of letters only go straight to the merges, which is the costly part.
+        """
+        if self.spaces_count:
+            plain, between, run, mark = [w for w in words if w.isprintable()], "\n", self.tokenizer, self.feed
+        else:
+            plain, between, run, mark = [w for w in words if w.isalpha() and max(w) < LATIN_END], f" {MARK} ", self.merges, self.mark
         out: dict[str, bytes] = {}
         for i in range(0, len(plain), 2000):
             some = plain[i : i + 2000]
-            ids = np.array(self.tokenizer.encode_batch_fast([mark.join([lead + w for w in some]) + mark], add_special_tokens=False)[0].ids, "<u4")
-            cuts = (np.flatnonzero(ids == np.frombuffer(end, "<u4")[0]) * 4).tolist()
-            if len(cuts) != len(some):
-                out.update(zip(some, self.whole([lead + w for w in some])))
-                continue
+            text = "".join([lead + w + between for w in some])
+            if not self.spaces_count:
+                text = text.lower().encode().decode("latin-1").translate(BYTE_CHARS)
+            ids = np.array(run.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             raw, at = ids.tobytes(), 0
-            for w, cut in zip(some, cuts):
+            for w, cut in zip(some, (np.flatnonzero(ids == mark) * 4).tolist(), strict=True):
                 out[w] = raw[at:cut]
                 at = cut + 4
         rest = [w for w in words if w not in out]
@@ -64,6 +84,9 @@ class WordEncoder:
         missing = [w for w in words if w not in cache]
         if not missing:
             return
+        old = self.old_later if lead else self.old_first
+        cache.update((w, old[w]) for w in missing if w in old)
+        missing = [w for w in missing if w not in old]
         cores = {w[:-1] if len(w) > 1 and w[-1] in ".,|!" and w[-2].isalpha() else w for w in missing}
         new = [w for w in cores if w not in cache]
         cache.update(zip(new, self._words(new, lead)))
@@ -74,9 +97,11 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        if len(self.first) + len(self.later) > self.entries:
-            self.first.clear()
-            self.later.clear()
+        for cache, old in ((self.first, self.old_first), (self.later, self.old_later)):
+            if len(cache) > self.entries // 2:
+                old.clear()
+                old.update(cache)
+                cache.clear()
         return [np.frombuffer(x, "<u4") for x in (self._with_spaces(texts) if self.spaces_count else self._without_spaces(texts))]
 
     def _with_spaces(self, texts: list[str]) -> list[bytes]:
@@ -104,7 +129,7 @@ class WordEncoder:
         return out
 
     def _without_spaces(self, texts: list[str]) -> list[bytes]:
-        words = [[w for w in t.replace("\n", " ").split(" ") if w] for t in texts]
+        words = [[w for w in (t.lower() if t.isascii() else t).replace("\n", " ").split(" ") if w] for t in texts]
         every: set[str] = set()
         for x in words:
             every.update(x)
