@@ -34,7 +34,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_report(table(spark, sf_dir, "documents"))
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    from chronofold.llm.url_filter import filter_urls
+
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op4_pack_sequences": op4_pack_sequences,
     "op8_token_files": op8_token_files,
@@ -44,4 +52,6 @@ QUERIES = {
 def oracle_sql() -> dict[str, str]:
     from chronofold.llm.exact_dedup import DUPLICATE_SQL
 
-    return {"op6_exact_dedup": DUPLICATE_SQL}
+    from chronofold.llm.url_filter import filter_sql
+
+    return {"op1_url_filter": filter_sql(), "op6_exact_dedup": DUPLICATE_SQL}
