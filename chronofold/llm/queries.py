@@ -41,7 +41,15 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts, digest of the fixed patterns' spans, all spans."""
+    from chronofold.llm.secret_scan import secret_report
+
+    return secret_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_secret_scan": op2_secret_scan,
     "op1_url_filter": op1_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
     "op4_pack_sequences": op4_pack_sequences,
