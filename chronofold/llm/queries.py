@@ -48,7 +48,15 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(table(spark, sf_dir, "documents"))
 
 
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, fixed rules and the line field's verdict of every document."""
+    from chronofold.llm.line_rules import line_quality
+
+    return line_quality(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op5_line_quality": op5_line_quality,
     "op2_secret_scan": op2_secret_scan,
     "op1_url_filter": op1_url_filter,
     "op6_exact_dedup": op6_exact_dedup,
