@@ -55,7 +55,15 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(table(spark, sf_dir, "documents"))
 
 
+def op3_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score by nearest-neighbour voting."""
+    from chronofold.llm.neighbour_quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op3_neighbour_quality": op3_neighbour_quality,
     "op5_line_quality": op5_line_quality,
     "op2_secret_scan": op2_secret_scan,
     "op1_url_filter": op1_url_filter,
