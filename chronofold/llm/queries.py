@@ -62,7 +62,16 @@ def op3_neighbour_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of all documents that bring the languages' expected totals to tempered weights."""
+    from chronofold.llm.mixing import mixture_rates
+
+    docs = table(spark, sf_dir, "documents")
+    return mixture_rates(docs, docs.selectExpr("text", "lang as domain"))
+
+
 QUERIES = {
+    "op9_mixing": op9_mixing,
     "op3_neighbour_quality": op3_neighbour_quality,
     "op5_line_quality": op5_line_quality,
     "op2_secret_scan": op2_secret_scan,
