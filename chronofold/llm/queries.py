@@ -70,7 +70,15 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_rates(docs, docs.selectExpr("text", "lang as domain"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 50-byte passages that start in a document before it."""
+    from chronofold.llm.suffix_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {
+    "op10_suffix_dedup": op10_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op3_neighbour_quality": op3_neighbour_quality,
     "op5_line_quality": op5_line_quality,
