@@ -77,7 +77,15 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its group of near copies (five-word shingles, similarity 0.8) and its number of links."""
+    from chronofold.llm.chosen_path import similar_groups
+
+    return similar_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "group_size", "n_links")
+
+
 QUERIES = {
+    "op7_near_duplicates": op7_near_duplicates,
     "op10_suffix_dedup": op10_suffix_dedup,
     "op9_mixing": op9_mixing,
     "op3_neighbour_quality": op3_neighbour_quality,
