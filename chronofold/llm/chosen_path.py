@@ -8,8 +8,9 @@
 3. In each bucket all sets are compared exactly and a spanning forest of the links found goes out, not all pairs. What
    is larger after the last split holds near copies mostly; it is dealt to blocks of LIMIT classes, every run another way,
    and each block has two leaders of the bucket too, so links across blocks are found through them.
-4. Components of all links are the groups. Members of different components that met in such a large bucket are compared
-   across its blocks (members outside the bucket's main component with everyone), so the blocks lose no link.
+4. The first runs' links make components. Of the other runs' buckets, only those in which components meet are compared; in larger
+   ones, members outside the bucket's main component are compared with all of its blocks, so the blocks lose no link
+   between components. Components of all links are the groups.
 5. Links are counted exactly within components, in pairs of blocks that give a sum for each class: rows grow with a
    component's size times its blocks, never with its pairs. (Counting exactly is quadratic work in a component's
    different texts; copies cost nothing.)
@@ -42,6 +43,8 @@ RECALL = 0.9999
 COORDINATES = 64
 LIMIT = 128
 DEPTH = 3
+#: Runs whose buckets are all compared.
+FIRST_RUNS = 2
 COUNT_BLOCK = 1024
 BATCH_BYTES = 1 << 20
 BROADCAST_ROWS = 1_000_000
@@ -165,7 +168,7 @@ def _digest(docs: DataFrame) -> DataFrame:
 
 
 def _split(rows: DataFrame) -> DataFrame:
-    """(cls, sig, path) one level down: (path, cls)."""
+    """(run, cls, sig, path) one level down: (run, path, cls)."""
     path = F.col("path")
 
     def step(salt: int) -> Column:
@@ -173,28 +176,24 @@ def _split(rows: DataFrame) -> DataFrame:
         return F.xxhash64(path, at, F.get("sig", at))
 
     two = F.pmod(F.xxhash64(path, F.lit(3)), F.lit(4)) == 0
-    return rows.select("cls", F.explode(F.when(two, F.array_distinct(F.array(step(1), step(2)))).otherwise(F.array(step(1)))).alias("path"))
+    return rows.select("run", "cls", F.explode(F.when(two, F.array_distinct(F.array(step(1), step(2)))).otherwise(F.array(step(1)))).alias("path"))
 
 
-def _buckets(classes: DataFrame, runs: int) -> tuple[DataFrame, DataFrame]:
-    """Members (path, cls, n) of the final buckets of up to LIMIT classes, and of those that stay larger."""
-    small, rows = [], classes.select("cls", "sig", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")).withColumn("path", F.xxhash64("run")).drop("run")
-    large = None
+def _buckets(classes: DataFrame, runs: int) -> DataFrame:
+    """Members (run, path, cls, n) of the final buckets: those of up to LIMIT classes, and those that stay larger."""
+    out, rows = None, classes.select("cls", "sig", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")).withColumn("path", F.xxhash64("run"))
     for level in range(DEPTH):
         members = stored(_split(rows), f"level{level}")
         # The fingerprint of a bucket's members: the same bucket of several runs is compared once.
         mark = F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mark")
-        counts = members.groupBy("path").agg(F.count(F.lit(1)).alias("n"), mark).where("n > 1")
-        counts = stored(counts.groupBy("n", "mark").agg(F.min("path").alias("path")), f"counts{level}")
-        small.append(members.join(counts.where(F.col("n") <= LIMIT).select("path", "n"), "path"))
-        big = members.join(counts.where(F.col("n") > LIMIT).select("path", "n"), "path")
-        large = big
-        if level < DEPTH - 1:
-            rows = big.join(classes.select("cls", "sig"), "cls").select("cls", "sig", "path")
-    out = small[0]
-    for s in small[1:]:
-        out = out.unionByName(s)
-    return out.select("path", "cls", "n"), large.select("path", "cls", "n")
+        counts = members.groupBy("path", "run").agg(F.count(F.lit(1)).alias("n"), mark).where("n > 1")
+        counts = stored(counts.groupBy("n", "mark").agg(F.min(F.struct("run", "path")).path.alias("path")).select("path", "n"), f"counts{level}")
+        last = level == DEPTH - 1
+        done = members.join(counts if last else counts.where(F.col("n") <= LIMIT), "path").select("run", "path", "cls", "n")
+        out = done if out is None else out.unionByName(done)
+        if not last:
+            rows = members.join(counts.where(F.col("n") > LIMIT).select("path"), "path").join(classes.select("cls", "sig"), "cls").select("run", "cls", "sig", "path")
+    return out
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[list[dict]]:
@@ -285,28 +284,27 @@ def similar_groups(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")
     classes = digest.where("n > 0").groupBy("key").agg(F.min(rank).alias("best"), F.count(F.lit(1)).alias("size"), F.first("sig").alias("sig"))
     classes = stored(classes.select("key", F.col("best.row_id").alias("cls"), "best", "size", "sig"), "classes")
-    small, large = _buckets(classes, n_runs(THRESHOLD, recall))
-    large = stored(large, "large")
-    n_blocks = F.ceil(F.col("n") / LIMIT).cast("int")
+    buckets = stored(_buckets(classes, n_runs(THRESHOLD, recall)), "buckets")
+    sets = _some_sets(digest, buckets)
+    n_blocks = F.ceil(F.col("n") / LIMIT).cast("int")  # one for a bucket of up to LIMIT
     block = F.pmod(F.xxhash64("cls", "path"), n_blocks).cast("int").alias("block")
     every_block = F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block")
-    inside = large.select("path", block, "cls")
+    # The first runs find most links; larger buckets' blocks share two leaders.
+    early = buckets.where(F.col("run") <= FIRST_RUNS)
     order = F.struct(F.xxhash64("path", "cls").alias("lead"), "cls")
-    leaders = large.groupBy("path", "n").agg(F.array(F.min(order).cls, F.max(order).cls).alias("heads"))
+    leaders = early.where(F.col("n") > LIMIT).groupBy("path", "n").agg(F.array(F.min(order).cls, F.max(order).cls).alias("heads"))
     leaders = leaders.select("path", "heads", every_block).select("path", "block", F.explode("heads").alias("cls"))
-    blocks = stored(small.select("path", F.lit(0).alias("block"), "cls").unionByName(inside).unionByName(leaders), "blocks")
-    sets = _some_sets(digest, blocks)
-    edges = stored(_edges(blocks, sets), "links")
+    edges = stored(_edges(early.select("path", block, "cls").unionByName(leaders), sets), "links")
     found = stored(components(edges), "components")
-    # Members outside a large bucket's main component meet all of its blocks.
-    labelled = stored(large.join(found, large["cls"] == found["v"], "left").select("path", "cls", "n", F.coalesce("root", "cls").alias("root")), "labelled")
+    # After them, only buckets in which different components meet can tell anything new; in those of more than one block,
+    # members outside the bucket's main component meet all blocks.
+    rest = buckets.where((F.col("run") > FIRST_RUNS) | (F.col("n") > LIMIT))
+    labelled = stored(rest.join(found, rest["cls"] == found["v"], "left").select("path", "cls", "n", F.coalesce("root", "cls").alias("root")), "labelled")
     main = labelled.groupBy("path", "root").count().groupBy("path").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    split = labelled.join(main, "path")
-    others = split.where("root <> main").select("path", "cls", every_block).select("path", "block", "cls")
-    again = stored(others.unionByName(split.select("path", block, "cls")), "again")
-    if again.limit(1).count():
-        edges = edges.unionByName(_edges(again, sets))
-        found = stored(components(edges), "components")
+    split = stored(labelled.join(main, "path"), "split")
+    others = split.where((F.col("root") != F.col("main")) & (F.col("n") > LIMIT)).select("path", "cls", every_block).select("path", "block", "cls")
+    again = _edges(others.unionByName(split.select("path", block, "cls")).distinct(), sets)
+    found = stored(components(edges.unionByName(again)), "components")
     members = found.join(classes.select("cls", "best", "size"), found["v"] == F.col("cls")).select("root", "cls", "best", "size")
     members = stored(members, "members")
     groups = stored(members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("group_size"), F.min("best").alias("first")), "groups")
