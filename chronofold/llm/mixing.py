@@ -157,10 +157,13 @@ def copies_of(rate: Column, doc_id: Column) -> Column:
 
 
 def mix_documents(docs: DataFrame, labelled: DataFrame, weights: Mapping[str, float] | None = None, low: float | None = None) -> DataFrame:
-    """docs with every row as often as its copies say, all columns. Rows are neither shuffled nor joined."""
+    """docs with every row as often as its copies say, all columns. Rows are neither shuffled nor joined.
+
+    Rows are written once with their posteriors, so the words are read once and the fitted rates meet plain columns.
+    """
     model = fit_classifier(labelled)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    mix = fit_mixture(stored(model.posteriors(docs, text_of(), []), "posteriors"), model.domains, weights, low)
-    rated = model.posteriors(docs, text_of(), [row])
+    rated = stored(model.posteriors(docs, text_of(), [row]), "posteriors")
+    mix = fit_mixture(rated.select("tokens", "p"), model.domains, weights, low)
     n = copies_of(rate_of(F.col("p"), mix.steps, mix.low), F.col("row.doc_id"))
     return rated.select("row", n.alias("n")).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_i")).select("row.*")
