@@ -45,11 +45,9 @@ class WordEncoder:
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.mark = self.merges.encode(MARK, add_special_tokens=False).ids[0]
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0] if spaces_count else None
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {} if spaces_count else self.first
+        self.cache: dict[str, bytes] = {}
         #: The previous generation: words in use move back from it.
-        self.old_first: dict[str, bytes] = {}
-        self.old_later: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids straight from the tokenizer."""
@@ -61,7 +59,7 @@ class WordEncoder:
         Where white space is dropped, words of letters only go straight to the merges, which is the costly part.
         """
         if self.spaces_count:
-            plain, between, run, mark = [w for w in words if w.isprintable()], "\n", self.tokenizer, self.feed
+            plain, between, run, mark = [w for w in words if w and w.isprintable()], "\n", self.tokenizer, self.feed
         else:
             plain, between, run, mark = [w for w in words if w.isalpha() and max(w) < LATIN_END], f" {MARK} ", self.merges, self.mark
         out: dict[str, bytes] = {}
@@ -79,17 +77,23 @@ class WordEncoder:
         out.update(zip(rest, self.whole([lead + w for w in rest])))
         return [out[w] for w in words]
 
-    def _learn(self, cache: dict[str, bytes], words: set[str], lead: str) -> None:
-        """Puts missing words into a cache; a last full stop or comma after a letter is a token of its own."""
+    def _learn(self, words: set[str]) -> None:
+        """Puts missing words into the cache; a last full stop or comma after a letter is a token of its own."""
+        cache, old = self.cache, self.old
         missing = [w for w in words if w not in cache]
         if not missing:
             return
-        old = self.old_later if lead else self.old_first
         cache.update((w, old[w]) for w in missing if w in old)
         missing = [w for w in missing if w not in old]
         cores = {w[:-1] if len(w) > 1 and w[-1] in ".,|!" and w[-2].isalpha() else w for w in missing}
         new = [w for w in cores if w not in cache]
-        cache.update(zip(new, self._words(new, lead)))
+        if self.spaces_count:  # behind a line feed a word has no space before it
+            fed, spaced = [w for w in new if w[0] == "\n"], [w for w in new if w[0] != "\n"]
+            feed = np.uint32(self.feed).tobytes()
+            cache.update((w, feed + ids) for w, ids in zip(fed, self._words([w[1:] for w in fed], "")))
+            cache.update(zip(spaced, self._words(spaced, " ")))
+        else:
+            cache.update(zip(new, self._words(new, "")))
         ends = {c: self.whole([c])[0] for c in {w[-1] for w in missing if w not in cache}}
         for w in missing:
             if w not in cache:
@@ -97,35 +101,26 @@ class WordEncoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
-        for cache, old in ((self.first, self.old_first), (self.later, self.old_later)):
-            if len(cache) > self.entries // 2:
-                old.clear()
-                old.update(cache)
-                cache.clear()
+        if len(self.cache) > self.entries // 2:
+            self.old, self.cache = self.cache, {}
         return [np.frombuffer(x, "<u4") for x in (self._with_spaces(texts) if self.spaces_count else self._without_spaces(texts))]
 
     def _with_spaces(self, texts: list[str]) -> list[bytes]:
-        plain = [i for i, t in enumerate(texts) if t and not _ODD_SPACE.search(t)]
-        odd = sorted(set(range(len(texts))) - set(plain))
         out: list[bytes] = [b""] * len(texts)
+        odd = [i for i, t in enumerate(texts) if not t or _ODD_SPACE.search(t)]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
             out[i] = ids
-        lines = [[line.split(" ") for line in texts[i].split("\n")] for i in plain]
-        self._learn(self.first, {"\n", *(x[0] for y in lines for x in y if x[0])}, "")
-        later: set[str] = set()
-        for y in lines:
-            for x in y:
-                later.update(x[1:])
-        self._learn(self.later, later, " ")
-        first, get, feed = self.first, self.later.__getitem__, self.first["\n"]
-        for i, y in zip(plain, lines):
-            parts: list[bytes] = []
-            for x in y:
-                parts.append(feed)
-                if x[0]:
-                    parts.append(first[x[0]])
-                    parts.extend(map(get, x[1:]))
-            out[i] = b"".join(parts[1:])
+        whole = set(odd)
+        # A line feed goes with the word behind it; one is put before the text and its id taken away again.
+        plain = [(i, ("\n" + t).replace("\n", " \n").split(" ")) for i, t in enumerate(texts) if i not in whole]
+        every: set[str] = set()
+        for _, words in plain:
+            every.update(words)
+        every.discard("")
+        self._learn(every)
+        get = self.cache.__getitem__
+        for i, words in plain:
+            out[i] = b"".join(map(get, words[1:]))[4:]
         return out
 
     def _without_spaces(self, texts: list[str]) -> list[bytes]:
@@ -133,8 +128,8 @@ class WordEncoder:
         every: set[str] = set()
         for x in words:
             every.update(x)
-        self._learn(self.first, every, "")
-        get = self.first.__getitem__
+        self._learn(every)
+        get = self.cache.__getitem__
         return [b"".join(map(get, x)) for x in words]
 
 
