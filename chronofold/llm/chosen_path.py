@@ -335,6 +335,8 @@ def similar_groups(docs: DataFrame, recall: float = RECALL) -> DataFrame:
 
 def one_of_each(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     """docs with one document of each group, all columns: that of the least doc_id (rows equal in doc_id and text stay together)."""
-    gone = stored(similar_groups(docs, recall).where("not kept").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct(), "gone")
+    rows = similar_groups(docs, recall).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
+    gone = stored(rows.agg(F.bool_or("kept").alias("kept")).where("not kept").drop("kept"), "gone")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    return docs.join(side, docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(text_of()) == F.col("_h")), "left_anti")
+    text = F.coalesce(docs["text"], F.lit(""))
+    return docs.join(side, docs["doc_id"].eqNullSafe(side["_d"]) & (F.xxhash64(text) == side["_h"]), "left_anti")

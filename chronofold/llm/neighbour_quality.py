@@ -114,7 +114,7 @@ class Model:
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
             cosine = v @ self.vectors.T
             near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cosine, near, axis=1), 1e-6) ** POWER
+            w = np.maximum(np.take_along_axis(cosine, near, axis=1).astype(np.float64), 1e-6) ** POWER
             votes = np.einsum("ij,ijk->ik", w, self.votes[near])
             known = some.any(axis=1)
             out[a : a + BLOCK][known] = (votes[:, 0] / votes.sum(axis=1))[known]
