@@ -1,7 +1,7 @@
 """Mixing sources to target weights by soft membership, in DataFrame and SQL operations only.
 
 1. A naive Bayes classifier over hashed words is fitted on a labelled table (text, domain): at most
-   ``max_labelled`` rows of each domain, those with the least hash, so that the counts that reach the driver (BUCKETS
+   ``max_labelled`` different texts of each domain, those with the least hash, so that the counts that reach the driver (BUCKETS
    numbers a domain) are bounded. Its log likelihood, divided by a power of the text's length, gives every document
    a posterior over the domains, by one expression over the row's words.
 2. Document rates r >= low are fitted by projected gradient on sum_d (sum_i r_i n_i p_id - T_d)^2 / A_d, where n_i
@@ -67,17 +67,19 @@ class Classifier:
 
 
 def fit_classifier(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Classifier:
-    """From labelled (text, domain). Counts of at most max_labelled texts a domain; the shares are of all rows."""
+    """From labelled (text, domain). Counts of at most max_labelled different texts a domain; the shares are of all rows."""
     rows = labelled.where(F.col("domain").isNotNull()).select(F.col("domain").cast("string").alias("domain"), text_of().alias("t"))
     counts = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().orderBy(F.col("count").desc(), "domain").limit(MAX_DOMAINS).collect()}
     domains = sorted(counts)
     if not domains:
         return Classifier([], [], [])
-    sample = None
-    hashed = rows.withColumn("h", F.xxhash64("t"))
+    hashed = rows.where(F.col("domain").isin(domains)).withColumn("h", F.xxhash64("t"))
+    # The different texts of least hash, told by their hashes alone; then one copy of each text follows.
+    chosen = None
     for d in domains:
-        some = hashed.where(F.col("domain") == d).orderBy("h", "t").limit(max_labelled)
-        sample = some if sample is None else sample.unionByName(some)
+        some = hashed.where(F.col("domain") == d).select("domain", "h").distinct().orderBy("h").limit(max_labelled)
+        chosen = some if chosen is None else chosen.unionByName(some)
+    sample = hashed.join(F.broadcast(chosen), ["domain", "h"], "left_semi").groupBy("domain", "h").agg(F.first("t").alias("t"))  # at most max_labelled * MAX_DOMAINS
     words = sample.select("domain", F.explode(_buckets()).alias("b")).groupBy("domain", "b").count().collect()  # at most domains x BUCKETS
     tables = {d: [0.5] * BUCKETS for d in domains}
     for r in words:
