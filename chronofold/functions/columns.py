@@ -37,8 +37,8 @@ def _has_segment(path: Column, names: list[str]) -> Column:
 
 
 def is_vendored(path: Column) -> Column:
-    out = _has_segment(path, V.VENDORED_SEGMENTS)
-    for part in V.VENDORED_SUBPATHS:
+    out = _has_segment(path, [v for v in V.VENDORED if "/" not in v])
+    for part in (v for v in V.VENDORED if "/" in v):
         out = out | path.contains(part)
     return out
 
@@ -74,7 +74,7 @@ def file_flags(path: Column) -> Column:
 
 def language(path: Column) -> Column:
     """Language by extension, null if unknown."""
-    pairs = [F.lit(x) for name, exts in V.LANGUAGES.items() for e in exts.split() for x in (e, name)]
+    pairs = [F.lit(x) for pair in V.LANGUAGES.items() for x in pair]
     return F.try_element_at(F.create_map(*pairs), extension(path))
 
 

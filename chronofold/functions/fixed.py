@@ -1,8 +1,8 @@
 """Lists, patterns, weights and codes that results depend on."""
 
 # -- fixed values: paths ------------------------------------------------------------------------------------
-VENDORED_SEGMENTS = ["node_modules", "vendor", "third_party", "thirdparty", "external", "Pods", "bower_components"]
-VENDORED_SUBPATHS = [".yarn/releases", ".yarn/plugins"]
+#: A whole segment, or any part of the path where the entry has a slash.
+VENDORED = ["node_modules", "vendor", "third_party", "thirdparty", "external", "Pods", "bower_components", ".yarn/releases", ".yarn/plugins"]
 GENERATED_SEGMENTS = ["dist", "generated", "build", "out", "target", "coverage", "__generated__", "__snapshots__", ".next", ".nuxt", "gen"]
 GENERATED_PATTERNS = [
     r"\.min\.(?:js|css)$",
@@ -31,9 +31,10 @@ MANIFESTS = [
 CLASSIFIER_MANIFESTS = [*MANIFESTS, "setup.py"]
 PUBLIC_API = ["index.ts", "index.js", "mod.rs", "lib.rs", "__init__.py", "index.d.ts", "api.ts", "public-api.ts"]
 LANGUAGES = {
-    "TypeScript": "ts tsx mts cts", "JavaScript": "js jsx mjs cjs", "Rust": "rs", "Python": "py", "Go": "go", "Ruby": "rb", "Java": "java", "Kotlin": "kt",
-    "Swift": "swift", "C": "c h", "C++": "cc cpp hpp", "C#": "cs", "PHP": "php", "Scala": "scala", "Elixir": "ex exs", "Shell": "sh bash zsh", "SQL": "sql",
-    "CSS": "css", "SCSS": "scss", "HTML": "html", "Vue": "vue", "Svelte": "svelte", "Markdown": "md", "JSON": "json", "YAML": "yml yaml", "TOML": "toml",
+    "ts": "TypeScript", "tsx": "TypeScript", "mts": "TypeScript", "cts": "TypeScript", "js": "JavaScript", "jsx": "JavaScript", "mjs": "JavaScript", "cjs": "JavaScript",
+    "rs": "Rust", "py": "Python", "go": "Go", "rb": "Ruby", "java": "Java", "kt": "Kotlin", "swift": "Swift", "c": "C", "h": "C", "cc": "C++", "cpp": "C++", "hpp": "C++",
+    "cs": "C#", "php": "PHP", "scala": "Scala", "ex": "Elixir", "exs": "Elixir", "sh": "Shell", "bash": "Shell", "zsh": "Shell", "sql": "SQL", "css": "CSS", "scss": "SCSS",
+    "html": "HTML", "vue": "Vue", "svelte": "Svelte", "md": "Markdown", "json": "JSON", "yml": "YAML", "yaml": "YAML", "toml": "TOML",
 }
 
 # -- fixed values: messages ----------------------------------------------------------------------------------

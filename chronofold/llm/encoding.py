@@ -23,6 +23,8 @@ def has_odd_space(text: str) -> bool:
     return not text or text[0] in " \n" or text[-1] in " \n" or any(r in text for r in _RUNS) or any(c in text for c in _OTHER)
 
 
+#: Signs that are no letters, digits or white space; behind a letter a run of them is cut off by both vocabularies.
+SIGNS = '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~'
 #: Stands between words; no word of letters has it.
 MARK = "!"
 #: Below this, lower case and composed forms are the same for Python and the tokenizer.
@@ -53,6 +55,8 @@ class WordEncoder:
         self.cache: dict[str, bytes] = {}
         #: The previous generation: words in use move back from it.
         self.old: dict[str, bytes] = {}
+        #: Ids of runs of signs that close a word.
+        self.signs: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         """Ids straight from the tokenizer."""
@@ -83,14 +87,21 @@ class WordEncoder:
         return [out[w] for w in words]
 
     def _learn(self, words: set[str]) -> None:
-        """Puts missing words into the cache; a last full stop or comma after a letter is a token of its own."""
+        """Puts missing words into the cache; signs behind a last letter are tokens of their own."""
         cache, old = self.cache, self.old
         missing = [w for w in words if w not in cache]
         if not missing:
             return
         cache.update((w, old[w]) for w in missing if w in old)
         missing = [w for w in missing if w not in old]
-        cores = {w[:-1] if len(w) > 1 and w[-1] in ".,|!" and w[-2].isalpha() else w for w in missing}
+        cores, tails = set(), []
+        for w in missing:
+            core = w.rstrip(SIGNS)
+            if core and core != w and core[-1].isalpha():
+                tails.append((w, core, w[len(core) :]))
+                cores.add(core)
+            else:
+                cores.add(w)
         new = [w for w in cores if w not in cache]
         if self.spaces_count:  # behind a line feed a word has no space before it
             fed, spaced = [w for w in new if w[0] == "\n"], [w for w in new if w[0] != "\n"]
@@ -99,16 +110,20 @@ class WordEncoder:
             cache.update(zip(spaced, self._words(spaced, " ")))
         else:
             cache.update(zip(new, self._words(new, "")))
-        ends = {c: self.whole([c])[0] for c in {w[-1] for w in missing if w not in cache}}
-        for w in missing:
-            if w not in cache:
-                cache[w] = cache[w[:-1]] + ends[w[-1]]
+        signs = list({t for _, _, t in tails} - self.signs.keys())
+        self.signs.update(zip(signs, self.whole(signs)))
+        cache.update((w, cache[core] + self.signs[tail]) for w, core, tail in tails)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
+        return [np.frombuffer(x, "<u4") for x in self.encode_bytes(texts)]
+
+    def encode_bytes(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text, four little-endian bytes each."""
         if len(self.cache) > self.entries // 2:
             self.old, self.cache = self.cache, {}
-        return [np.frombuffer(x, "<u4") for x in (self._with_spaces(texts) if self.spaces_count else self._without_spaces(texts))]
+            self.signs.clear()
+        return self._with_spaces(texts) if self.spaces_count else self._without_spaces(texts)
 
     def _with_spaces(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)

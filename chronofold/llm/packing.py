@@ -36,7 +36,7 @@ CAPACITY = 1024
 SMALL_SHARE = 1 / 16
 GROUPS = 96
 END_ID = 2
-ROWS = 256
+ROWS = 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
 
 
@@ -210,16 +210,17 @@ def _pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) ->
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, seen = encoder(tokenizer_path, True), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        last = end_id.to_bytes(4, "little")
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
                 some, rows = batch.slice(a, ROWS), []
-                for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode(some.column(1).to_pylist())):
-                    ids = np.append(ids, np.uint32(end_id)).astype("<u4")
-                    start, end = 0, (len(ids) - 1) % capacity + 1
-                    piece = 0
-                    while start < len(ids):
+                for doc_id, ids in zip(some.column(0).to_pylist(), enc.encode_bytes(some.column(1).to_pylist())):
+                    ids += last
+                    total = len(ids) // 4
+                    start, end, piece = 0, (total - 1) % capacity + 1, 0
+                    while start < total:
                         n = end - start
-                        rows.append((doc_id, piece, start, n, zlib.crc32(ids[start:end]), part, seen[n]))
+                        rows.append((doc_id, piece, start, n, zlib.crc32(ids[4 * start : 4 * end]), part, seen[n]))
                         seen[n] += 1
                         piece, start, end = piece + 1, end, end + capacity
                 if rows:

@@ -175,3 +175,27 @@ def distinct_summaries(scored: DataFrame, k: int) -> DataFrame:
 
 def window_contains(at: Column, start: int, end: int) -> Column:
     return (at >= start) & (at < end)
+
+
+def search_paths(files: DataFrame, query: str, k: int) -> DataFrame:
+    """Files whose path holds every word of the query (case aside): names before directories, short before long."""
+    words = re.findall(r"\w+", query.lower())
+    path, name = F.lower("path"), F.lower(C.basename(F.col("path")))
+    every, rank = F.lit(bool(words)), F.lit(0)
+    for w in words:
+        every = every & path.contains(w)
+        rank = rank + F.when(name == w, 3).when(F.startswith(name, F.lit(w)), 2).when(name.contains(w), 1).otherwise(0)
+    return files.where(every).select("file_id", "path", rank.alias("rank")).orderBy(F.col("rank").desc(), F.length("path"), "path").limit(k)
+
+
+def introducing_commits(fixes: DataFrame, hunks: DataFrame, width: int = 64) -> DataFrame:
+    """(fix_id, file_id, introduced_by): for the lines that a fix takes away, the last commit before it that wrote into them.
+
+    fixes (commit_id); hunks with old and new sides, in each commit's own lines (a pre-filter as for line questions, not blame).
+    Line ranges meet in bins, as in ``overlapping_hunks``.
+    """
+    gone = hunks.join(fixes.select("commit_id"), "commit_id", "left_semi").where("old_len > 0")
+    gone = gone.select(F.col("commit_id").alias("fix_id"), "file_id", F.col("old_start").alias("start"), (F.col("old_start") + F.col("old_len")).alias("end"))
+    met = overlapping_hunks(hunks, gone.select("file_id", "start", "end").distinct(), width)
+    pairs = gone.join(met.select("file_id", "start", "end", "commit_id"), ["file_id", "start", "end"]).where(F.col("commit_id") < F.col("fix_id"))
+    return pairs.groupBy("fix_id", "file_id").agg(F.max("commit_id").alias("introduced_by"))

@@ -540,3 +540,24 @@ def treemap_layout(h: History) -> DataFrame:
     churn = _source(h).groupBy("file_id").agg(F.sum("churn").alias("size"))
     rows = churn.join(h.files, "file_id").select(F.coalesce(C.top_directory(F.col("path")), F.lit("")).alias("directory"), "path", "size")
     return treemap(rows)
+
+
+@query("select file_id, path, rank from (select file_id, path, case when starts_with(lower(regexp_extract(path, '[^/]*$')), 'file1') then 2 when contains(lower(regexp_extract(path, '[^/]*$')), 'file1') then 1 else 0 end + case when contains(lower(regexp_extract(path, '[^/]*$')), 'src') then 1 else 0 end as rank from files where contains(lower(path), 'file1') and contains(lower(path), 'src')) order by rank desc, length(path), path limit 15")
+def path_search(h: History) -> DataFrame:
+    return L.search_paths(h.files, "src file1", 15)
+
+
+@query(
+    "select f.commit_id as fix_id, a.file_id, max(b.commit_id) as introduced_by from (select commit_id from messages where starts_with(subject, 'fix: ')) f join hunks a using (commit_id) join hunks b on a.file_id = b.file_id and b.commit_id < f.commit_id and a.new_len > 0 and b.new_len > 0 and b.new_start < a.new_start + a.new_len and b.new_start + b.new_len > a.new_start group by all"
+)
+def introducing_commits(h: History) -> DataFrame:
+    """Commits that wrote the lines which a fix takes away (the bound hunks have equal sides)."""
+    both = h.hunks.select("commit_id", "file_id", F.col("new_start").alias("old_start"), F.col("new_len").alias("old_len"), "new_start", "new_len")
+    fixes = h.messages.where(F.startswith("subject", F.lit("fix: "))).select("commit_id")
+    return L.introducing_commits(fixes, both)
+
+
+@query("select commit_id, lower(regexp_extract(trailer, '^([A-Za-z-]+):', 1)) as key, regexp_extract(trailer, ': (.*)$', 1) as value from messages where trailer <> ''")
+def trailer_values(h: History) -> DataFrame:
+    rows = h.messages.select("commit_id", F.explode(C.message_parts(F.col("message"))["trailers"]).alias("t"))
+    return rows.select("commit_id", "t.key", "t.value")
