@@ -52,7 +52,7 @@ class WordEncoder:
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         self.mark = self.merges.encode(MARK, add_special_tokens=False).ids[0]
         self.feed = self.tokenizer.encode("\n", add_special_tokens=False).ids[0] if spaces_count else None
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {"": b""}
         #: The previous generation: words in use move back from it.
         self.old: dict[str, bytes] = {}
         #: Ids of runs of signs that close a word.
@@ -121,7 +121,7 @@ class WordEncoder:
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, four little-endian bytes each."""
         if len(self.cache) > self.entries // 2:
-            self.old, self.cache = self.cache, {}
+            self.old, self.cache = self.cache, {"": b""}
             self.signs.clear()
         return self._with_spaces(texts) if self.spaces_count else self._without_spaces(texts)
 
@@ -136,7 +136,6 @@ class WordEncoder:
         every: set[str] = set()
         for _, words in plain:
             every.update(words)
-        every.discard("")
         self._learn(every)
         get = self.cache.__getitem__
         for i, words in plain:
@@ -144,7 +143,7 @@ class WordEncoder:
         return out
 
     def _without_spaces(self, texts: list[str]) -> list[bytes]:
-        words = [[w for w in (t.lower() if t.isascii() else t).replace("\n", " ").split(" ") if w] for t in texts]
+        words = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
         every: set[str] = set()
         for x in words:
             every.update(x)
