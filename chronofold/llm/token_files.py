@@ -40,7 +40,7 @@ END_ID = 2
 SELECT_STEP = 64
 #: Ids after which a segment is closed.
 SEGMENT_IDS = 16_000_000
-ROWS = 256
+ROWS = 1024
 
 
 class EliasFano:
@@ -155,12 +155,13 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, spaces_co
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, number, names, ids, n = encoder(tokenizer_path, spaces_count), TaskContext.get().partitionId(), 0, [], [], 0
+        last = end_id.to_bytes(4, "little")
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
                 some = batch.slice(a, ROWS)
                 names += some.column(0).to_pylist()
-                for x in enc.encode(some.column(1).to_pylist()):
-                    ids.append(np.append(x, np.uint32(end_id)).astype(f"<u{width}"))
+                for x in enc.encode_bytes(some.column(1).to_pylist()):
+                    ids.append(np.frombuffer(x + last, "<u4").astype(f"<u{width}"))
                     n += len(ids[-1])
                 if n >= SEGMENT_IDS:
                     yield pa.RecordBatch.from_pydict({"value": pa.array([pack_segment(part, number, names, ids, width)], pa.binary())})
