@@ -27,9 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Paths that this driver has made, in order.
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/chronofold/{name}-{uuid.uuid4().hex}"
+    """A fresh path below the shared folder, in this application's part of it."""
+    path = f"{shared_dir(spark)}/chronofold/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def made() -> int:
+    """How many paths have been made; a mark for ``release``."""
+    return len(_MADE)
+
+
+def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> None:
+    """Deletes the tables made since a mark (but the last one, if it is what is still read).
+
+    Results that were not written or collected yet may read such tables, so call it when they are done with.
+    """
+    gone, kept = (_MADE[since:-1], _MADE[-1:]) if keep_last else (_MADE[since:], [])
+    for path in gone:
+        drop_path(spark, path)
+    _MADE[since:] = kept
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

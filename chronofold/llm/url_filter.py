@@ -139,7 +139,7 @@ def block_score(host: Column, path: Column, weights: list[float], intercept: flo
 
 def filter_urls(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labelled: DataFrame | None = None, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """page_id, host, path, rule, verdict of every row of pages (page_id, url). labelled: (url, block 0 or 1)."""
-    rows = labelled_urls() if labelled is None else [(r[0], int(r[1])) for r in labelled.select("url", "block").orderBy("url", "block").limit(max_labelled).collect()]
+    rows = labelled_urls() if labelled is None else [(r[0], int(r[1])) for r in labelled.where("url is not null and block is not null").select("url", "block").orderBy("url", "block").limit(max_labelled).collect()]
     weights, intercept = fit(rows)
     host, path = host_and_path(F.col("url"))
     parts = pages.select("page_id", host.alias("host"), path.alias("path"))

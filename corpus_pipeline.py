@@ -13,7 +13,7 @@ from chronofold.llm.exact_dedup import deduplicate
 from chronofold.llm.mixing import mix_documents
 from chronofold.llm.neighbour_quality import keep_good
 from chronofold.llm.packing import pack_documents
-from chronofold.llm.shared import stored, table
+from chronofold.llm.shared import made, release, stored, table
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -55,7 +55,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
+        mark = made()
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs = stored(docs, f"stage-{name}")
+            release(spark, mark, keep_last=True)  # what the stage has written on its way
     return docs
