@@ -120,9 +120,13 @@ def is_mechanical(subject: Column) -> Column:
 
 
 def _paragraphs(message: Column) -> Column:
-    clean = F.regexp_replace(F.regexp_replace(message, "\r\n", "\n"), r"\s+$", "")
-    rest = F.when(clean.contains("\n"), F.regexp_replace(clean, r"^[^\n]*\n+", "")).otherwise("")
-    return F.when(rest == "", F.array().cast("array<string>")).otherwise(F.split(rest, r"\n{2,}"))
+    """Paragraphs behind the first line."""
+
+    def behind(clean: Column) -> Column:
+        rest = F.regexp_replace(clean, r"^[^\n]*\n+", "")
+        return F.when(clean.contains("\n"), F.split(rest, r"\n{2,}")).otherwise(F.array().cast("array<string>"))
+
+    return let(F.regexp_replace(F.regexp_replace(message, "\r\n", "\n"), r"\s+$", ""), behind)
 
 
 def _is_trailer_block(paragraph: Column) -> Column:
@@ -131,21 +135,33 @@ def _is_trailer_block(paragraph: Column) -> Column:
     return (F.size(lines) > 0) & F.forall(lines, lambda x: x.rlike(V.TRAILER_LINE) | x.rlike(r"^\s+\S")) & F.get(lines, 0).rlike(V.TRAILER_LINE)
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _trailers(block: Column) -> Column:
+    lines = F.filter(F.split(F.regexp_replace(block, r"\n+[ \t]+(?=\S)", " "), "\n"), lambda x: x.rlike(V.TRAILER_LINE))
+    return F.transform(lines, lambda x: F.struct(F.lower(F.regexp_extract(x, V.TRAILER_LINE, 1)).alias("key"), F.trim(F.regexp_extract(x, V.TRAILER_LINE, 2)).alias("value")))
+
+
 def message_parts(message: Column) -> Column:
     """struct(subject, body, trailers): the last paragraph is a trailer block or text; keys in lower case, continuations joined."""
-    parts = _paragraphs(message)
-    last = F.get(parts, F.size(parts) - 1)
-    has_block = F.coalesce(_is_trailer_block(last), F.lit(False))
-    joined = F.regexp_replace(last, r"\n+[ \t]+(?=\S)", " ")
-    lines = F.filter(F.split(joined, "\n"), lambda x: x.rlike(V.TRAILER_LINE))
-    trailers = F.transform(lines, lambda x: F.struct(F.lower(F.regexp_extract(x, V.TRAILER_LINE, 1)).alias("key"), F.trim(F.regexp_extract(x, V.TRAILER_LINE, 2)).alias("value")))
-    text = F.when(has_block, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-    body = F.regexp_replace(F.array_join(text, "\n\n"), r"^\s+|\s+$", "")
-    return F.struct(
-        first_line(F.regexp_replace(message, "\r\n", "\n")).alias("subject"),
-        F.when(body != "", body).alias("body"),
-        F.when(has_block, trailers).otherwise(F.array().cast("array<struct<key:string,value:string>>")).alias("trailers"),
-    )
+
+    def parts_of(parts: Column) -> Column:
+        last = F.get(parts, F.size(parts) - 1)
+        return let(F.coalesce(_is_trailer_block(last), F.lit(False)), lambda has: split(parts, last, has))
+
+    def split(parts: Column, last: Column, has: Column) -> Column:
+        text = F.when(has, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
+        body = F.nullif(F.regexp_replace(F.array_join(text, "\n\n"), r"^\s+|\s+$", ""), F.lit(""))
+        return F.struct(
+            first_line(F.regexp_replace(message, "\r\n", "\n")).alias("subject"),
+            body.alias("body"),
+            F.when(has, _trailers(last)).otherwise(F.array().cast("array<struct<key:string,value:string>>")).alias("trailers"),
+        )
+
+    return let(_paragraphs(message), parts_of)
 
 
 def co_authors(trailers: Column) -> Column:
