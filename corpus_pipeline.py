@@ -2,6 +2,12 @@
 
 Each stage works on all rows that the one before kept, is written as Parquet and read again. The first four return the columns
 of documents; the last one returns a row per token piece with its place in a sequence.
+
+Awkward rows: a missing text counts as the empty one in every stage. Empty texts score the labels' share of good documents, are
+equal to each other (one stays), have no near copies, no tokens to mix (they appear at their domains' rate), and are packed as the
+end id alone. Rows without doc_id are never learned from, lose ties against rows with one, and keep their missing doc_id. Of rows that
+are equal in every column exact dedup keeps one. Further columns of any name pass through the first four stages. Empty tables give
+empty tables.
 """
 
 from __future__ import annotations
