@@ -45,8 +45,9 @@ LIMIT = 128
 DEPTH = 3
 #: Runs whose buckets are all compared.
 FIRST_RUNS = 2
-COUNT_BLOCK = 1024
-BATCH_BYTES = 1 << 20
+#: Links are counted in pairs of blocks of so many classes; in larger groups FEW_BLOCKS wider blocks, up to WIDE_BLOCK, keep the rows few.
+COUNT_BLOCK, WIDE_BLOCK, FEW_BLOCKS = 256, 1024, 16
+BATCH_BYTES = 1 << 19
 BROADCAST_ROWS = 1_000_000
 
 _rng = np.random.default_rng(11)
@@ -163,6 +164,7 @@ def _digest(docs: DataFrame) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in DIGEST.split(", ")])
                 at = end
+            pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text_of()).alias("h"), text_of().alias("text")).mapInArrow(of, DIGEST).withColumn("row_id", F.monotonically_increasing_id())
 
@@ -205,6 +207,7 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterat
                 yield have
                 have = []
             have.append(row)
+        pa.default_memory_pool().release_unused()
     if have:
         yield have
 
@@ -309,7 +312,7 @@ def similar_groups(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     members = stored(members, "members")
     groups = stored(members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("group_size"), F.min("best").alias("first")), "groups")
     # Links, by pairs of blocks within a component.
-    k = F.ceil(F.col("m") / COUNT_BLOCK).cast("int")
+    k = F.least(F.ceil(F.col("m") / COUNT_BLOCK), F.greatest(F.ceil(F.col("m") / WIDE_BLOCK), F.lit(FEW_BLOCKS))).cast("int")
     dealt = members.join(groups.select("root", "m"), "root").withColumn("block", F.pmod(F.xxhash64("cls"), k).cast("int"))
     dealt = dealt.select("root", "cls", "size", "block", F.explode(F.sequence(F.lit(0), k - 1)).alias("o"))
     dealt = dealt.select("root", "cls", "size", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"))
