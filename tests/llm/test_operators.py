@@ -473,6 +473,16 @@ def test_suffix_dedup(docs, nothing, rows, chunk, ranges):
     assert suffix_dedup.remove_repeats(nothing).count() == 0
 
 
+def test_suffix_dedup_of_long_periodic_texts(spark):
+    """Runs of more than 65,535 windows with one leading token, and runs sent behind them."""
+    rng = random.Random(12)
+    shared = sentence(rng, 60)
+    known = [(i, "free " * n + sentence(rng, 40) + shared + sentence(rng, 40)) for i, n in enumerate((14_000, 13_500, 0, 40))] + [(9, "=" * 70_000)]
+    known.append((10, "=" * 200 + sentence(rng, 40)))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(known, "doc_id long, text string")).drop("spans").collect()
+    assert same(got, removed(known))
+
+
 def test_multikey_order():
     rng = np.random.default_rng(4)
     data = np.frombuffer(bytes(rng.integers(97, 99, 400, dtype=np.uint8)) * 2 + bytes(8), np.uint8)
