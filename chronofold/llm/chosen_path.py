@@ -186,12 +186,13 @@ def _buckets(classes: DataFrame, runs: int) -> DataFrame:
     out, rows = None, classes.select("cls", "sig", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")).withColumn("path", F.xxhash64("run"))
     for level in range(DEPTH):
         members = stored(_split(rows), f"level{level}")
-        # The fingerprint of a bucket's members: the same bucket of several runs is compared once.
         mark = F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mark")
-        counts = members.groupBy("path", "run").agg(F.count(F.lit(1)).alias("n"), mark).where("n > 1")
-        counts = stored(counts.groupBy("n", "mark").agg(F.min(F.struct("run", "path")).path.alias("path")).select("path", "n"), f"counts{level}")
+        counts = stored(members.groupBy("path", "run").agg(F.count(F.lit(1)).alias("n"), mark).where("n > 1"), f"counts{level}")
         last = level == DEPTH - 1
-        done = members.join(counts if last else counts.where(F.col("n") <= LIMIT), "path").select("run", "path", "cls", "n")
+        # The fingerprint of a bucket's members: the same bucket of several runs is compared once. One that is split again goes on by every path.
+        final = counts if last else counts.where(F.col("n") <= LIMIT)
+        final = final.groupBy("n", "mark").agg(F.min(F.struct("run", "path")).path.alias("path")).select("path", "n")
+        done = members.join(final, "path").select("run", "path", "cls", "n")
         out = done if out is None else out.unionByName(done)
         if not last:
             rows = members.join(counts.where(F.col("n") > LIMIT).select("path"), "path").join(classes.select("cls", "sig"), "cls").select("run", "cls", "sig", "path")

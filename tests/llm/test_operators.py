@@ -364,6 +364,21 @@ def test_chosen_path_in_blocks(spark, monkeypatch):
     assert same([(r["doc_id"], r["class_id"], r["group_size"], r["n_links"]) for r in got], similar(out))
 
 
+def test_chosen_path_keeps_every_runs_path_of_a_large_bucket(spark, monkeypatch):
+    """Families of almost equal texts, each larger than a bucket, with one text at about the threshold to all of them."""
+    monkeypatch.setattr(chosen_path, "LIMIT", 8)
+    rng = random.Random(5)
+    out = []
+    for _ in range(16):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(900)]
+        for i in range(12):
+            out.append((len(out), " ".join([*base[:400], f"x{i}", *base[401:]])))
+        out.append((len(out), " ".join(base[:810] + [f"y{rng.randrange(10**6)}" for _ in range(90)])))
+    got = chosen_path.similar_groups(spark.createDataFrame(out, "doc_id long, text string")).collect()
+    assert same([(r["doc_id"], r["class_id"], r["group_size"], r["n_links"]) for r in got], similar(out))
+    assert {r["group_size"] for r in got} == {13}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 300)]
     got = {r["v"]: r["root"] for r in chosen_path.components(spark.createDataFrame(edges, "a long, b long")).collect()}
