@@ -144,6 +144,15 @@ def test_secret_scan(spark, docs, nothing, rows):
     assert secret_scan.secret_report(nothing).count() == 0
 
 
+def test_secrets_straight_behind_an_equals_sign(spark):
+    lines = [
+        "STRIPE_KEY=4eC39HqLyjWDarjtT1zdp7dcQx81", "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ3vN8sTLd", "https://h/?sig=Zk3vQ9xT1mWc7RbLy0HsDf5JgUe2NaPo&x=1", "x == 4eC39HqLyjWDarjtT1zdp7dcQx81",
+        "name=a-plain-name-with-hyphens-and-2-numbers-in-it", "4eC39HqLyjWDarjtT1zdp7dcQx81=",
+    ]
+    got = {r["doc_id"]: r["spans"] for r in secret_scan.secret_report(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(6)] == ["random:11:39", "random:22:62", "random:15:47", "random:5:33", "", "random:0:29"]
+
+
 def test_false_discovery_cuts():
     even = {(0, b): 10 for b in range(100)}
     assert secret_scan.cuts_of(even)[0] <= 0.02
