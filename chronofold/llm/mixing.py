@@ -67,9 +67,11 @@ class Classifier:
 
 
 def fit_classifier(labelled: DataFrame, max_labelled: int = MAX_LABELLED) -> Classifier:
-    """From labelled (text, domain). Counts of at most max_labelled different texts a domain; the shares are of all rows."""
+    """From labelled (text, domain). Counts of at most max_labelled different texts a domain; the shares are of all rows. More than MAX_DOMAINS domains are an error."""
     rows = labelled.where(F.col("domain").isNotNull()).select(F.col("domain").cast("string").alias("domain"), text_of().alias("t"))
-    counts = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().orderBy(F.col("count").desc(), "domain").limit(MAX_DOMAINS).collect()}
+    counts = {r["domain"]: r["count"] for r in rows.groupBy("domain").count().orderBy(F.col("count").desc(), "domain").limit(MAX_DOMAINS + 1).collect()}
+    if len(counts) > MAX_DOMAINS:
+        raise ValueError(f"labelled rows have more than {MAX_DOMAINS} domains")
     domains = sorted(counts)
     if not domains:
         return Classifier([], [], [])

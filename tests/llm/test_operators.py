@@ -457,6 +457,12 @@ def test_mixing(spark, docs, nothing, rows):
     assert mixing.mix_documents(nothing, labelled).count() == 0
 
 
+def test_more_domains_than_the_bound_are_an_error(spark):
+    rows = [(f"text {i}", f"d{i}") for i in range(mixing.MAX_DOMAINS + 1)]
+    with pytest.raises(ValueError, match="domains"):
+        mixing.fit_classifier(spark.createDataFrame(rows, "text string, domain string"))
+
+
 def test_rates_meet_the_targets(spark, data_dir):
     docs = spark.read.parquet(f"{data_dir}/documents.parquet")
     weights = {"en": 0.4, "fr": 0.3, "de": 0.2, "es": 0.1}
