@@ -8,6 +8,8 @@ the tokenizer on whole texts.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 
 #: Entries that a cache holds before it starts afresh; about 200 MB.
@@ -36,17 +38,20 @@ BYTE_CHARS.pop(32)
 
 
 class WordEncoder:
-    """Encodes texts to little-endian uint32 ids, add_special_tokens=False, special strings as plain text.
+    """Encodes texts to little-endian uint32 ids, as the library does with add_special_tokens=False.
 
-    spaces_count: the vocabulary has ids for white space (byte-level BPE); else white space is dropped.
+    spaces_count: the vocabulary has ids for white space (byte-level BPE); else white space is dropped. Texts that hold an
+    added token's string (which the library finds before it cuts words) go to the tokenizer whole.
     """
 
     def __init__(self, path: str, spaces_count: bool, entries: int = CACHE_ENTRIES):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_truncation()
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        #: A sign that all added tokens begin with ("" if none): most texts are told by one search.
+        self.starts = os.path.commonprefix(self.added)[:1]
         self.spaces_count, self.entries = spaces_count, entries
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
@@ -97,7 +102,8 @@ class WordEncoder:
         cores, tails = set(), []
         for w in missing:
             core = w.rstrip(SIGNS)
-            if core and core != w and core[-1].isalpha():
+            # Beyond Latin, lower case or composition may end in a mark, which goes with the signs.
+            if core and core != w and core[-1].isalpha() and core[-1] < LATIN_END:
                 tails.append((w, core, w[len(core) :]))
                 cores.add(core)
             else:
@@ -114,6 +120,10 @@ class WordEncoder:
         self.signs.update(zip(signs, self.whole(signs)))
         cache.update((w, cache[core] + self.signs[tail]) for w, core, tail in tails)
 
+    def _has_added(self, text: str) -> bool:
+        """Whether a text, or what lower case makes of it, holds an added token's string."""
+        return self.starts in text and any(a in text.lower() for a in self.added)
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
         return [np.frombuffer(x, "<u4") for x in self.encode_bytes(texts)]
@@ -127,10 +137,9 @@ class WordEncoder:
 
     def _with_spaces(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        odd = [i for i, t in enumerate(texts) if has_odd_space(t)]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd])):
+        whole = {i for i, t in enumerate(texts) if has_odd_space(t) or self._has_added(t)}
+        for i, ids in zip(sorted(whole), self.whole([texts[i] for i in sorted(whole)])):
             out[i] = ids
-        whole = set(odd)
         # A line feed goes with the word behind it; one is put before the text and its id taken away again.
         plain = [(i, ("\n" + t).replace("\n", " \n").split(" ")) for i, t in enumerate(texts) if i not in whole]
         every: set[str] = set()
@@ -143,13 +152,24 @@ class WordEncoder:
         return out
 
     def _without_spaces(self, texts: list[str]) -> list[bytes]:
-        words = [(t.lower() if t.isascii() else t).replace("\n", " ").split(" ") for t in texts]
+        out: list[bytes] = [b""] * len(texts)
+        whole = [i for i, t in enumerate(texts) if self._has_added(t)]
+        for i, ids in zip(whole, self.whole([texts[i] for i in whole])):
+            out[i] = ids
+        held = set(whole)
+        plain = [(i, (t.lower() if t.isascii() else t).replace("\n", " ").split(" ")) for i, t in enumerate(texts) if i not in held]
         every: set[str] = set()
-        for x in words:
+        for _, x in plain:
             every.update(x)
         self._learn(every)
         get = self.cache.__getitem__
-        return [b"".join(map(get, x)) for x in words]
+        for i, x in plain:
+            out[i] = b"".join(map(get, x))
+        return out
+
+    def largest_id(self) -> int:
+        """The greatest id that the vocabulary has."""
+        return max(self.tokenizer.get_vocab(with_added_tokens=True).values())
 
 
 _ENCODERS: dict[tuple[str, bool], WordEncoder] = {}

@@ -9,9 +9,10 @@ A file is a run of segments. A segment holds the ids of consecutive documents (a
     one byte 0x0A
 
 Elias-Fano stores n values below u in about n * (2 + log2(u / n)) bits; a 32-bit select sample for every
-64th value finds any offset without a table of 64-bit offsets. Spark's own writer commits the files (a
+64th value finds any offset without a table of 64-bit offsets. A file holds one segment (SEGMENT_IDS ids, or one document
+that is longer), so files stay small whatever the corpus. Spark's own writer commits them (a
 binary payload cast to string is written byte by byte by the text source), so a lost executor leaves no
-half-written segment.
+half-written segment. Ids wider than ``width`` bytes are refused before anything is written.
 
 Nulls: a missing text is the empty one, a missing doc_id sorts first and stays missing. Equal doc_ids keep
 all their rows, in an order fixed by the text. An empty table gives no segments and no rows.
@@ -144,12 +145,15 @@ def segments(raw: bytes) -> Iterator[Segment]:
         yield seg
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, spaces_count: bool, width: int = 2, end_id: int = END_ID) -> None:
+def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, spaces_count: bool, width: int = 2, end_id: int = END_ID, segment_ids: int = SEGMENT_IDS) -> None:
     """Encodes docs (doc_id, text) and writes token files in ascending doc_id order.
 
     Ranges of doc_id are dealt by a sample of the ids, equal doc_ids by their texts' hash too, so a doc_id that holds
     many rows is spread; AQE joins small ranges. Memory of a task is one segment.
     """
+    top = max(encoder(tokenizer_path, spaces_count).largest_id(), end_id)
+    if top >= 1 << (8 * width):
+        raise ValueError(f"ids up to {top} do not fit {width} bytes")
     rows = docs.select(F.col("doc_id"), text_of().alias("text")).withColumn("h", F.xxhash64("text"))
     rows = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.col("h")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
 
@@ -159,17 +163,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, spaces_co
         for batch in batches:
             for a in range(0, batch.num_rows, ROWS):
                 some = batch.slice(a, ROWS)
-                names += some.column(0).to_pylist()
-                for x in enc.encode_bytes(some.column(1).to_pylist()):
+                for doc_id, x in zip(some.column(0).to_pylist(), enc.encode_bytes(some.column(1).to_pylist())):
+                    names.append(doc_id)
                     ids.append(np.frombuffer(x + last, "<u4").astype(f"<u{width}"))
                     n += len(ids[-1])
-                if n >= SEGMENT_IDS:
-                    yield pa.RecordBatch.from_pydict({"value": pa.array([pack_segment(part, number, names, ids, width)], pa.binary())})
-                    number, names, ids, n = number + 1, [], [], 0
+                    if n >= segment_ids:
+                        yield pa.RecordBatch.from_pydict({"value": pa.array([pack_segment(part, number, names, ids, width)], pa.binary())})
+                        number, names, ids, n = number + 1, [], [], 0
         if ids:
             yield pa.RecordBatch.from_pydict({"value": pa.array([pack_segment(part, number, names, ids, width)], pa.binary())})
 
-    rows.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value")).write.text(path)
+    rows.mapInArrow(encode, "value binary").select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)
 
 
 def read_token_files(spark, path: str) -> DataFrame:

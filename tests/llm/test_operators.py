@@ -74,7 +74,6 @@ def plain(rows):
 
 def tokens(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda x: np.array(t.encode(x, add_special_tokens=False).ids + [2], "<u4")
 
 
@@ -435,11 +434,39 @@ ODD = [
 
 @pytest.mark.parametrize("path, spaces", [(BYTES, True), (WORDS, False)])
 def test_words_encode_as_whole_texts_do(path, spaces):
-    e = WordEncoder(path, spaces, entries=50)
-    every = ODD + texts()
+    e, library = WordEncoder(path, spaces, entries=50), Tokenizer.from_file(path)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    every = ODD + texts() + [x for t in added for x in (f"a{t} b", f"{t.upper()} {t}{t}.", t, f" {t}\n")]
     for a in range(0, len(every), 9):
         some = every[a : a + 9]
-        assert [x.tobytes() for x in e.encode(some)] == e.whole(some)
+        assert [x.tolist() for x in e.encode(some)] == [library.encode(x, add_special_tokens=False).ids for x in some]
+
+
+@pytest.mark.parametrize("path, spaces", [(BYTES, True), (WORDS, False)])
+def test_ids_of_random_texts_are_the_librarys(path, spaces):
+    e, library, rng = WordEncoder(path, spaces, entries=3000), Tokenizer.from_file(path), random.Random(5)
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    odd = [*" \n\t.,!'\"-|<>ßİıΣςéÉàñµªº½²Kſ", "\u0301", "\u0307", "\u0338", "\u0958", "\u212b", "\u1e9e", "\ufb01", "日", "한", "\u1100\u1161", "😀", "\u200d", "\u00a0", "\u3000", "'s", "'LL", *added, *[x.upper() for x in added], *[x[:-1] for x in added]]
+    for _ in range(200):
+        some = []
+        for _ in range(20):
+            parts = [rng.choice(odd) if rng.random() < 0.35 else chr(rng.randrange(32, 0x250)) if rng.random() < 0.1 else chr(rng.randrange(0x250, 0x3000)) if rng.random() < 0.05 else rng.choice(["ta", "Ri", "no ", "7", " ", "the"]) for _ in range(rng.randint(0, 30))]
+            some.append("".join(parts))
+        assert [x.tolist() for x in e.encode(some)] == [library.encode(x, add_special_tokens=False).ids for x in some]
+
+
+def test_token_files_refuse_a_width_that_ids_do_not_fit(docs, spark):
+    with pytest.raises(ValueError, match="fit"):
+        token_files.write_token_files(docs, "/nonexistent", WORDS, False, width=1)
+
+
+def test_a_file_holds_one_segment(spark, tmp_path):
+    docs = spark.createDataFrame([(i, "some words that make a few ids " * 3) for i in range(40)], "doc_id long, text string").coalesce(1)
+    token_files.write_token_files(docs, str(tmp_path / "t"), WORDS, False, segment_ids=50)
+    files = [p for p in (tmp_path / "t").glob("part-*")]
+    assert len(files) > 3 and all(len(list(token_files.segments(p.read_bytes()))) == 1 for p in files)
+    got = sorted(map(tuple, token_files.read_token_files(spark, str(tmp_path / "t")).collect()))
+    assert [g[0] for g in got] == list(range(40)) and [g[1] for g in got] == [i * got[0][2] for i in range(40)]
 
 
 # -- 9 -----------------------------------------------------------------------------------------------------------
