@@ -54,28 +54,31 @@ def release(spark: SparkSession, since: int = 0, keep_last: bool = False) -> Non
     _MADE[since:] = kept
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet below the shared folder and reads it back.
+def stored(df: DataFrame, name: str, row_group: int | None = None) -> DataFrame:
+    """Writes df as Parquet below the shared folder and reads it back (row_group: bytes of a row group, for large rows).
 
     The task commit protocol makes the files whole and final, so what follows no longer depends on the
     executors (or on the row order) that computed them.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    writer = df.write if row_group is None else df.write.option("parquet.block.size", row_group)
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextlib.contextmanager
 def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
-    """Arrow batches of at most n rows, for what is computed meanwhile: rows that are chunks would else fill memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(n))
+    """Arrow and Parquet batches of at most n rows, for what is computed meanwhile: rows that are chunks would else fill memory."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize")
+    before = [spark.conf.get(k) for k in keys]
+    for k in keys:
+        spark.conf.set(k, str(n))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in zip(keys, before):
+            spark.conf.set(k, v)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -522,9 +522,9 @@ def removed(rows, length=50):
     return out
 
 
-@pytest.mark.parametrize("chunk, ranges", [(1 << 20, 1 << 22), (3000, 4000)])
-def test_suffix_dedup(docs, nothing, rows, chunk, ranges):
-    got = suffix_dedup.remove_repeats(docs, chunk_bytes=chunk, range_bytes=ranges).drop("spans").collect()
+@pytest.mark.parametrize("chunk, ranges, hot", [(1 << 20, 1 << 22, 64), (3000, 4000, 64), (3000, 4000, 2)])
+def test_suffix_dedup(docs, nothing, rows, chunk, ranges, hot):
+    got = suffix_dedup.remove_repeats(docs, chunk_bytes=chunk, range_bytes=ranges, hot=hot).drop("spans").collect()
     assert same(got, removed(plain(rows)))
     assert sum(r["n_removed"] for r in got) > 1000
     assert suffix_dedup.remove_repeats(nothing).count() == 0
@@ -540,6 +540,34 @@ def test_suffix_dedup_of_long_periodic_texts(spark):
     assert same(got, removed(known))
 
 
+def test_suffix_dedup_of_equal_bytes(spark):
+    """Two documents of 70,000 equal bytes, blocks of positions that end within them, and a passage behind."""
+    passage = "".join(chr(97 + (i * i * 7 + i) % 26) for i in range(400))
+    known = [(1, "-" * 70_000 + passage), (2, "-" * 70_000), (3, passage), (4, "=" * 300_000)]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(known, "doc_id long, text string"), chunk_bytes=1000, range_bytes=100_000, hot=3).drop("spans").collect()
+    assert same(got, removed(known))
+    assert {r["doc_id"]: r["n_removed"] for r in got} == {1: 0, 2: 70_000, 3: 400, 4: 0}
+
+
+def test_least_ids_in_blocks(monkeypatch):
+    rng = random.Random(3)
+    parts = [sentence(rng, 12).encode() for _ in range(6)]
+    texts = list({b"".join(rng.choices(parts, k=2))[:120] for _ in range(60)})
+    texts = [t for t in texts if len(t) >= 50]
+    counts, ids = np.array([len(t) - 49 for t in texts]), np.array([rng.randrange(30) for _ in texts])
+    want: dict[bytes, int] = {}
+    for t, i in zip(texts, ids.tolist()):
+        for k in range(len(t) - 49):
+            want[t[k : k + 50]] = min(want.get(t[k : k + 50], i), i)
+    # Texts are runs of one leading token here: each is cut so that its windows share one.
+    runs = suffix_dedup.Runs(ids, texts, 50)
+    pieces = [(texts[d][s - runs.at[d] : s - runs.at[d] + c + 49], int(ids[d])) for d, s, c in zip(runs.doc.tolist(), runs.start.tolist(), runs.count.tolist())]
+    for block in (1, 40, 1 << 17):
+        monkeypatch.setattr(suffix_dedup, "BLOCK", block)
+        got = suffix_dedup.least_ids([p for p, _ in pieces], np.array([len(p) - 49 for p, _ in pieces]), np.array([i for _, i in pieces]), 50)
+        assert got.tolist() == [want[p[k : k + 50]] for p, _ in pieces for k in range(len(p) - 49)]
+
+
 def test_multikey_order():
     rng = np.random.default_rng(4)
     data = np.frombuffer(bytes(rng.integers(97, 99, 400, dtype=np.uint8)) * 2 + bytes(8), np.uint8)
