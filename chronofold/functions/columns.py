@@ -106,6 +106,10 @@ def kind_name(code: Column, names: list[str], base: int) -> Column:
     return F.when(out.isNotNull(), out).otherwise(F.raise_error(F.concat(F.lit("unknown code: "), code.cast("string"))))
 
 
+#: White space as Java patterns have it.
+WHITE = " \t\n\x0b\f\r"
+
+
 # -- messages ----------------------------------------------------------------------------------------------------
 def first_line(message: Column) -> Column:
     return F.trim(F.substring_index(message, "\n", 1))
@@ -126,7 +130,11 @@ def _paragraphs(message: Column) -> Column:
         rest = F.regexp_replace(clean, r"^[^\n]*\n+", "")
         return F.when(clean.contains("\n"), F.split(rest, r"\n{2,}")).otherwise(F.array().cast("array<string>"))
 
-    return let(F.regexp_replace(F.regexp_replace(message, "\r\n", "\n"), r"\s+$", ""), behind)
+    return let(F.rtrim(_line_feeds(message), F.lit(WHITE)), behind)
+
+
+def _line_feeds(message: Column) -> Column:
+    return F.replace(message, F.lit("\r\n"), F.lit("\n"))
 
 
 def _is_trailer_block(paragraph: Column) -> Column:
@@ -154,9 +162,9 @@ def message_parts(message: Column) -> Column:
 
     def split(parts: Column, last: Column, has: Column) -> Column:
         text = F.when(has, F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))).otherwise(parts)
-        body = F.nullif(F.regexp_replace(F.array_join(text, "\n\n"), r"^\s+|\s+$", ""), F.lit(""))
+        body = F.nullif(F.trim(F.array_join(text, "\n\n"), F.lit(WHITE)), F.lit(""))
         return F.struct(
-            first_line(F.regexp_replace(message, "\r\n", "\n")).alias("subject"),
+            first_line(_line_feeds(message)).alias("subject"),
             body.alias("body"),
             F.when(has, _trailers(last)).otherwise(F.array().cast("array<struct<key:string,value:string>>")).alias("trailers"),
         )

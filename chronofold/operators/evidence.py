@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronofold.functions import columns as C
 from chronofold.functions import fixed as V
+from chronofold.operators.lookups import overlapping_hunks
 
 
 # -- reverts ---------------------------------------------------------------------------------------------------
@@ -49,6 +49,17 @@ def revert_pairs_by_message(messages: DataFrame, changes: DataFrame) -> DataFram
     return shared.groupBy("revert_id").agg(F.max("reverted_id").alias("reverted_id"))
 
 
+def references(messages: DataFrame) -> DataFrame:
+    """(commit_id, kind, reference) that messages (commit_id, subject, message) name: pull requests by ``(#N)`` in the subject,
+    ``Merge pull request #N`` or a PR-URL trailer, and Change-Ids; each once."""
+    trailers = C.message_parts(F.col("message"))["trailers"]
+    said = lambda key, pattern: F.filter(F.transform(F.filter(trailers, lambda t: t["key"] == key), lambda t: F.regexp_extract(t["value"], pattern, 1)), lambda x: x != "")
+    merged = F.regexp_extract("subject", r"^Merge pull request #(\d+)", 1)
+    pulls = F.concat(F.regexp_extract_all("subject", F.lit(r"\(#(\d+)\)"), F.lit(1)), F.when(merged != "", F.array(merged)).otherwise(F.array().cast("array<string>")), said("pr-url", r"/(?:pull|pulls|merge_requests)/(\d+)"))
+    kinds = F.concat(F.transform(pulls, lambda x: F.struct(F.lit("pull-request").alias("kind"), x.alias("reference"))), F.transform(said("change-id", r"^(I[0-9a-f]{8,64})$"), lambda x: F.struct(F.lit("change-id").alias("kind"), x.alias("reference"))))
+    return messages.select("commit_id", F.explode(F.array_distinct(kinds)).alias("r")).select("commit_id", "r.kind", "r.reference")
+
+
 def links(tiers: list[tuple[DataFrame, str, str]], references: DataFrame | None = None) -> DataFrame:
     """One row for each link: reverts by their best tier (given best first, with confidence and source), and pull request references."""
     rows = None
@@ -64,7 +75,7 @@ def links(tiers: list[tuple[DataFrame, str, str]], references: DataFrame | None
 
 
 # -- eras ------------------------------------------------------------------------------------------------------
-DIMENSIONS = ["commits", "authors", "entropy", "loc_delta"]
+DIMENSIONS = ["commits", "authors", "entropy", "loc_delta", "extension_mix"]
 MIN_ERAS, MAX_ERAS, SHORT = 3, 12, 0.05
 
 
@@ -97,8 +108,10 @@ def segment(x: np.ndarray, least: int = MIN_ERAS, most: int = MAX_ERAS, short: f
 
 
 def eras(series: DataFrame, tags: DataFrame, snap_days: int = 14) -> DataFrame:
-    """(era, start): weeks at which eras begin. The weekly series of a repository is short, so one task segments it."""
-    dates = [r["day"] for r in tags.select(F.to_date(F.timestamp_seconds("tagged_at")).alias("day")).distinct().orderBy("day").collect()]
+    """(era, start): weeks at which eras begin, snapped to the nearest release day (the earlier of two as near).
+
+    The weekly series of a repository is short, so one task segments it; at most MAX_ERAS starts then meet the tags.
+    """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("week")
@@ -106,26 +119,28 @@ def eras(series: DataFrame, tags: DataFrame, snap_days: int = 14) -> DataFrame:
         off = np.abs(x - np.median(x, axis=0))
         mad = np.median(off, axis=0) * 1.4826
         z = np.where(mad > 0, (x - np.median(x, axis=0)) / np.where(mad > 0, mad, 1), 0)
-        weeks = pd.to_datetime(pdf["week"]).dt.date.tolist()
-        starts = []
-        for i in segment(z):
-            near = min(dates, key=lambda d: (abs((d - weeks[i]).days), d), default=weeks[i])
-            starts.append(near if i and abs((near - weeks[i]).days) <= snap_days else weeks[i])
-        return pd.DataFrame({"era": range(1, len(starts) + 1), "start": starts})
+        starts = segment(z)
+        return pd.DataFrame({"era": range(1, len(starts) + 1), "week": pd.to_datetime(pdf["week"]).dt.date.iloc[starts].tolist()})
 
-    return series.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fold, "era long, start date")
+    found = series.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(fold, "era long, week date")
+    days = tags.select(F.to_date(F.timestamp_seconds("tagged_at")).alias("day")).distinct()
+    away = F.abs(F.date_diff("day", "week"))
+    near = days.join(F.broadcast(found), (away <= snap_days) & (F.col("era") > 1)).groupBy("era").agg(F.min(F.struct(away.alias("away"), "day"))["day"].alias("day"))
+    return found.join(near, "era", "left").select("era", F.coalesce("day", "week").alias("start"))
 
 
 # -- bundles ---------------------------------------------------------------------------------------------------
 KIND_PRIOR = {"blame": 1.0, "revert-pair": 0.9, "pr-reference": 0.8, "commit-context": 0.7, "test-sibling": 0.5, "temporal-neighbor": 0.4}
 CERTAINTY = {"observed": 1.0, "inferred": 0.6}
+#: Folders that tell sources from tests and are left out when the two are matched.
+SIDE_FOLDERS = ("src", "lib", "test", "tests", "__tests__", "spec", "unit")
 RANK_WEIGHTS = {"recency": 0.2, "proximity": 0.4, "prior": 0.25, "certainty": 0.15}
 
 
 def collect_evidence(target: DataFrame, commits: DataFrame, changes: DataFrame, files: DataFrame, hunks: DataFrame, pairs: DataFrame, references: DataFrame, window: int = 7 * 86_400) -> DataFrame:
     """Items (target, kind, commit_id, proximity, confidence) for targets (target, file_id, start, end): six collectors, one row for each reason."""
     t = target.select("target", "file_id", "start", "end")
-    span = hunks.select("commit_id", "file_id", "new_start", "new_len").join(t, "file_id").where((F.col("new_start") < F.col("end")) & (F.col("new_start") + F.col("new_len") > F.col("start")))
+    span = overlapping_hunks(hunks, t.select("file_id", "start", "end").distinct()).join(t, ["file_id", "start", "end"])
     size = (F.col("end") - F.col("start")).cast("double")
     overlap = (F.least("end", F.col("new_start") + F.col("new_len")) - F.greatest("start", "new_start")) / size
     blame = span.groupBy("target", "file_id", "commit_id").agg(F.max(overlap).alias("proximity"))
@@ -141,10 +156,12 @@ def collect_evidence(target: DataFrame, commits: DataFrame, changes: DataFrame,
     near = at.select("commit_id", "authored_at", "author_id", F.explode(F.array(*[F.floor(F.col("authored_at") / window) + d for d in (-1, 0, 1)])).alias("_w"))
     close = mine.join(near, ["author_id", "_w"]).where(F.abs(F.col("authored_at") - F.col("_at")) <= window).groupBy("target", "commit_id").agg((1 - F.min(F.abs(F.col("authored_at") - F.col("_at"))) / window).alias("p"))
     out = out.unionByName(item(close, "temporal-neighbor", F.col("p"), "inferred"))
+    # A test goes with the file of its name in the directory that is left when source and test folders are taken out of both.
     stem = F.regexp_replace(F.substring_index("path", "/", -1), r"\.[^.]*$", "")
-    named = files.select("file_id", stem.alias("stem"))
-    tests = named.select(F.col("file_id").alias("test_id"), F.regexp_replace("stem", r"^test_|[._-](test|spec)$", "").alias("stem"), F.col("stem").alias("_full")).where("stem <> _full")
-    sibling = t.join(named, "file_id").join(tests, "stem").select("target", F.col("test_id").alias("file_id")).join(changes.select("commit_id", "file_id"), "file_id")
+    folder = F.array_join(F.filter(F.slice(F.split("path", "/"), F.lit(1), F.size(F.split("path", "/")) - 1), lambda x: ~x.isin(*SIDE_FOLDERS)), "/")
+    named = files.select("file_id", stem.alias("stem"), folder.alias("folder"))
+    tests = named.select(F.col("file_id").alias("test_id"), "folder", F.regexp_replace("stem", r"^test_|[._-](test|spec)$", "").alias("stem"), F.col("stem").alias("_full")).where("stem <> _full")
+    sibling = t.join(named, "file_id").join(tests, ["stem", "folder"]).select("target", F.col("test_id").alias("file_id")).join(changes.select("commit_id", "file_id"), "file_id")
     return out.unionByName(item(sibling, "test-sibling", F.lit(0.4), "inferred"))
 
 
@@ -174,17 +191,22 @@ def bundles(ranked: DataFrame) -> DataFrame:
 
 
 def check_citations(answers: DataFrame) -> DataFrame:
-    """answers (id, text, labels): share of sentences with a marker, markers without an item, numbers, verdict.
+    """answers (id, text, labels, sources: texts of the labelled items): share of sentences with a marker, markers without an item,
+    numbers that no cited item has, verdict.
 
-    accept from 0.95, downgrade from 0.7, else reject; a marker for nothing rejects.
+    accept from 0.95, downgrade from 0.7, else reject; a marker for nothing or an invented number rejects.
     """
     sentences = F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda s: s.rlike(r"\w"))
     marked = F.filter(sentences, lambda s: s.rlike(r"\[E\d+\]"))
     markers = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\[(E\d+)\]"), F.lit(1)))
     ratio = F.when(F.size(sentences) > 0, F.size(marked) / F.size(sentences)).otherwise(0.0)
-    out = answers.select("id", ratio.alias("ratio"), F.array_except(markers, "labels").alias("unknown"))
-    verdict = F.when(F.size("unknown") > 0, "reject").when(F.col("ratio") >= 0.95, "accept").when(F.col("ratio") >= 0.7, "downgrade").otherwise("reject")
-    return out.select("id", F.round("ratio", 6).alias("ratio"), F.size("unknown").alias("unknown"), verdict.alias("verdict"))
+    numbers = lambda text: F.array_distinct(F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)*"), F.lit(0)))
+    cited = F.array_join(F.transform(F.filter(F.arrays_zip("labels", "sources"), lambda z: F.array_contains(markers, z["labels"])), lambda z: F.coalesce(z["sources"], F.lit(""))), "\n")
+    invented = F.array_except(numbers(F.regexp_replace("text", r"\[E\d+\]", "")), numbers(cited))
+    out = answers.select("id", ratio.alias("ratio"), F.array_except(markers, "labels").alias("unknown"), invented.alias("invented"))
+    bad = (F.size("unknown") > 0) | (F.size("invented") > 0)
+    verdict = F.when(bad, "reject").when(F.col("ratio") >= 0.95, "accept").when(F.col("ratio") >= 0.7, "downgrade").otherwise("reject")
+    return out.select("id", F.round("ratio", 6).alias("ratio"), F.size("unknown").alias("unknown"), F.size("invented").alias("invented"), verdict.alias("verdict"))
 
 
 # -- treemap ---------------------------------------------------------------------------------------------------
@@ -219,14 +241,18 @@ def squarify(sizes: list[float], x: float, y: float, w: float, h: float) -> list
 
 
 def treemap(sizes: DataFrame, width: float = 1000.0, height: float = 1000.0) -> DataFrame:
-    """Layout of sizes (directory, path, size): directories by name in the whole, files by path in their directory. One task a directory."""
-    dirs = sizes.groupBy("directory").agg(F.sum("size").alias("size")).orderBy("directory").collect()
-    boxes = {r["directory"]: b for r, b in zip(dirs, squarify([float(r["size"]) for r in dirs], 0.0, 0.0, width, height))}
-    table = json.dumps(boxes)
+    """Layout of sizes (directory, path, size): directories by name in the whole, files by path in their directory. One task a directory;
+    one for the directories, of which a repository has few."""
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("directory")
+        cells = squarify(pdf["total"].astype(float).tolist(), 0.0, 0.0, width, height)
+        return pd.concat([pdf[["directory"]].reset_index(drop=True), pd.DataFrame(cells, columns=["bx", "by", "bw", "bh"])], axis=1)
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("path")
-        cells = squarify(pdf["size"].astype(float).tolist(), *json.loads(table)[pdf["directory"].iloc[0]])
+        cells = squarify(pdf["size"].astype(float).tolist(), *(float(pdf[c].iloc[0]) for c in ("bx", "by", "bw", "bh")))
         return pd.concat([pdf[["directory", "path"]].reset_index(drop=True), pd.DataFrame(cells, columns=["x", "y", "w", "h"])], axis=1)
 
-    return sizes.groupBy("directory").applyInPandas(fold, "directory string, path string, x double, y double, w double, h double")
+    boxes = sizes.groupBy("directory").agg(F.sum("size").alias("total")).withColumn("all", F.lit(1)).groupBy("all").applyInPandas(whole, "directory string, bx double, by double, bw double, bh double")
+    return sizes.select("directory", "path", "size").join(boxes, "directory").groupBy("directory").applyInPandas(fold, "directory string, path string, x double, y double, w double, h double")

@@ -10,7 +10,7 @@ import re
 
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -24,6 +24,28 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else C.jaro_winkler(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
+def similar_names(names: DataFrame, least: float = V.NAME_SIMILARITY) -> DataFrame:
+    """(a, b, similarity) of all pairs a < b of different names (name) that are similar enough.
+
+    Exact candidates: the similarity is at most j + 0.4 (1 - j), so j >= (least - 0.4) / 0.6, and each name shares at least
+    ``part`` = 3 j - 2 of its characters with the other. Characters (with their number in the name) are taken rarest first; two
+    such names meet in the first n - ceil(part n) + 1 of them, and their lengths differ by no more than that share.
+    """
+    part = 3 * (least - 0.4) / 0.6 - 2
+    rows = names.select("name").where("name <> ''").distinct()
+    if part <= 0:
+        raise ValueError("a similarity that low allows any pair")
+    chars = F.split("name", "")
+    signs = rows.select("name", F.length("name").alias("n"), F.posexplode(chars).alias("i", "c"), chars.alias("all"))
+    signs = signs.select("name", "n", F.concat("c", F.size(F.filter(F.slice("all", F.lit(1), F.col("i") + 1), lambda x: x == F.col("c"))).cast("string")).alias("sign"))
+    often = signs.groupBy("sign").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("name").orderBy("often", "sign"))
+    first = signs.join(often, "sign").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * part - 1e-9) + 1).select("name", "n", "sign")
+    a, b = first.select(F.col("name").alias("a"), F.col("n").alias("na"), "sign"), first.select(F.col("name").alias("b"), F.col("n").alias("nb"), "sign")
+    pairs = a.join(b, "sign").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= part * F.greatest("na", "nb") - 1e-9)).select("a", "b").distinct()
+    return pairs.select("a", "b", similarity(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= least)
+
+
 # -- files -----------------------------------------------------------------------------------------------------
 class FileHistory:
     """The files of one repository, as changes come in walk order.

@@ -235,15 +235,27 @@ def releases(tags: DataFrame) -> DataFrame:
 
 
 def era_series(commits: DataFrame, changes: DataFrame, files: DataFrame) -> DataFrame:
-    """Weekly commit rate, authors, entropy of top directories and line balance."""
+    """Weekly commit rate, authors, entropy of top directories, line balance and extension mix.
+
+    The extension mix is how far (one minus cosine) a week's counts by extension are from those of the last week with changes.
+    """
     week = F.date_trunc("week", F.timestamp_seconds("authored_at")).cast("date").alias("week")
     rows = commits.select("commit_id", "author_id", week)
     basic = rows.groupBy("week").agg(F.count(F.lit(1)).alias("commits"), F.countDistinct("author_id").alias("authors"))
-    touched = changes.join(rows.select("commit_id", "week"), "commit_id").join(files.select("file_id", F.coalesce(C.top_directory(F.col("path")), F.lit("")).alias("directory")), "file_id")
-    by_dir = touched.groupBy("week", "directory").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("insertions") - F.col("deletions")).alias("delta"))
+    named = files.select("file_id", F.coalesce(C.top_directory(F.col("path")), F.lit("")).alias("directory"), C.extension(F.col("path")).alias("extension"))
+    touched = changes.join(rows.select("commit_id", "week"), "commit_id").join(named, "file_id")
+    # One aggregation of the changes serves both: directories and extensions are few.
+    cells = touched.groupBy("week", "directory", "extension").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("insertions") - F.col("deletions")).alias("delta"))
+    by_dir = cells.groupBy("week", "directory").agg(F.sum("n").alias("n"), F.sum("delta").alias("delta"))
     p = F.col("n") / F.sum("n").over(Window.partitionBy("week"))
     spread = by_dir.withColumn("p", p).groupBy("week").agg((-F.sum(F.col("p") * F.log2("p"))).alias("entropy"), F.sum("delta").alias("loc_delta"))
-    return basic.join(spread, "week", "left")
+    mixes = cells.groupBy("week", "extension").agg(F.sum("n").cast("double").alias("n")).groupBy("week").agg(F.map_from_entries(F.collect_list(F.struct("extension", "n"))).alias("mix"))
+    norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda a, x: a + x * x))
+    before = F.lag("mix").over(Window.partitionBy(F.lit(0)).orderBy("week"))  # one row a week
+    both = mixes.withColumn("before", before)
+    dot = F.aggregate(F.map_entries("mix"), F.lit(0.0), lambda a, e: a + e["value"] * F.coalesce(F.try_element_at("before", e["key"]), F.lit(0.0)))
+    apart = both.select("week", F.when(F.col("before").isNull(), 0.0).otherwise(1 - dot / (norm(F.col("mix")) * norm(F.col("before")))).alias("extension_mix"))
+    return basic.join(spread, "week", "left").join(apart, "week", "left")
 
 
 def robust_scores(series: DataFrame, dimensions: list[str]) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUBJECTS = {"1-URGENT": "fix: ", "2-HIGH": "feat: ", "3-MEDIUM": "refactor: ", "4-NOT SPECIFIED": "Revert ", "5-LOW": "chore: "}
-LINE = 60
+#: White space as Java patterns have it.
+WHITE = " \t\n\x0b\f\r"
 
 #: Paths by p_partkey % 20; {k} is the key. The rest are source files of five languages.
 PATHS = {0: "dist/bundle/f{k}.js", 1: "vendor/lib/f{k}.go", 2: "pkg{k}/package-lock.json", 3: "pkg{k}/Cargo.toml", 4: "src/core/{k}/index.ts", 5: "tests/unit/test_{k}.py", 6: "assets/img{k}.png", 7: "README{k}.md"}
@@ -36,21 +37,31 @@ class History:
 
     @cached_property
     def messages(self) -> DataFrame:
-        """commits with message, subject, has_body, n_trailers."""
-        docs = self.table("documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        n = docs.agg(F.count(F.lit(1)).alias("n_docs"))
-        rows = self.commits.crossJoin(F.broadcast(n)).withColumn("doc_id", (F.col("commit_id") - 1) % F.col("n_docs"))
-        rows = rows.join(docs, "doc_id", "left")
+        """commits with message, subject, has_body, n_trailers.
+
+        A subject is a prefix and a text's whole first line, a body the whole rest of it; bodies stand in the first of three rounds through
+        the texts. Texts are taken apart once, before they meet their commits.
+        """
+        text = F.coalesce("text", F.lit(""))
+        feed = F.instr(text, "\n")
+        rest = F.when(feed > 0, F.trim(F.substr(text, feed + 1), F.lit(WHITE))).otherwise("")
+        docs = self.table("documents").select("doc_id", F.trim(F.substring_index(text, "\n", 1)).alias("head"), rest.alias("rest"), (rest != "").alias("has_rest"))
+        n = self.table("documents").agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n_docs"))
         key = F.col("commit_id") - 1
+        rows = self.commits.crossJoin(F.broadcast(n)).withColumn("doc_id", key % F.col("n_docs")).withColumn("told", F.floor(key / F.col("n_docs")) % 3 == 0).drop("n_docs")
+        rows = rows.join(docs, "doc_id", "left")
+        head, has_body = F.coalesce("head", F.lit("")), F.col("told") & F.coalesce("has_rest", F.lit(False))
         prefix = F.element_at(F.create_map(*[F.lit(x) for p in SUBJECTS.items() for x in p]), F.col("pri"))
-        head = F.trim(F.substring(F.trim(F.substring_index("text", "\n", 1)), 1, LINE))
-        subject = F.when(key % 13 == 0, "update").when(key % 17 == 0, "chore: run formatter").when(key % 19 == 0, F.concat(F.lit("Reland "), head)).otherwise(F.concat(prefix, head))
-        subject = F.trim(F.concat(subject, F.when(key % 7 == 0, F.concat(F.lit(" (#"), key.cast("string"), F.lit(")"))).otherwise("")))
-        body = F.when(key % 3 == 0, F.trim(F.substring(F.regexp_replace("text", r"\s+", " "), LINE + 1, 200))).otherwise("")
+        number = key.cast("string")
+        subject = F.when(key % 13 == 0, "update").when(key % 17 == 0, "chore: run formatter").when(key % 19 == 0, F.concat(F.lit("Reland "), head)).when(key % 23 == 0, F.concat(F.lit("Merge pull request #"), number, F.lit(" from topic"))).otherwise(F.concat(prefix, head))
+        subject = F.trim(F.concat(subject, F.when(key % 7 == 0, F.concat(F.lit(" (#"), number, F.lit(")"))).otherwise("")))
         person = (key % 97).cast("string")
-        trailer = F.when(key % 5 == 0, F.concat(F.lit("Co-authored-by: Helper "), person, F.lit(" <helper"), person, F.lit("@example.org>"))).otherwise("")
-        message = F.concat(subject, F.when(body != "", F.concat(F.lit("\n\n"), body)).otherwise(""), F.when(trailer != "", F.concat(F.lit("\n\n"), trailer)).otherwise(""))
-        return rows.select("commit_id", "author_id", "authored_at", "committed_at", message.alias("message"), subject.alias("subject"), (body != "").alias("has_body"), F.when(trailer != "", 1).otherwise(0).alias("n_trailers"))
+        helper = F.when(key % 5 == 0, F.concat(F.lit("Co-authored-by: Helper "), person, F.lit(" <helper"), person, F.lit("@example.org>")))
+        review = F.when(key % 29 == 1, F.concat(F.lit("Change-Id: I"), F.sha1(number))).when(key % 29 == 2, F.concat(F.lit("PR-URL: https://example.org/r/pull/"), number))
+        trailer = F.concat_ws("\n", helper, review)
+        message = F.concat(subject, F.when(has_body, F.concat(F.lit("\n\n"), F.col("rest"))).otherwise(""), F.when(trailer != "", F.concat(F.lit("\n\n"), trailer)).otherwise(""))
+        n_trailers = helper.isNotNull().cast("int") + review.isNotNull().cast("int")
+        return rows.select("commit_id", "author_id", "authored_at", "committed_at", message.alias("message"), subject.alias("subject"), has_body.alias("has_body"), n_trailers.alias("n_trailers"))
 
     @cached_property
     def parents(self) -> DataFrame:
@@ -115,14 +126,16 @@ def _sql_case(form: dict) -> str:
 
 SQL = f"""
 with commits as (select o_orderkey + 1 as commit_id, o_custkey + 1 as author_id, cast(epoch(o_orderdate) as bigint) as authored_at, cast(epoch(o_orderdate) as bigint) as committed_at, o_orderpriority as pri from orders),
-msg0 as (select c.*, commit_id - 1 as k, coalesce(d.text, '') as text from commits c left join documents d on d.doc_id = (c.commit_id - 1) % (select count(*) from documents)),
-msg1 as (select *, trim(substr(trim(split_part(text, chr(10), 1)), 1, {LINE})) as head from msg0),
-msg2 as (select *, trim(case when k % 13 = 0 then 'update' when k % 17 = 0 then 'chore: run formatter' when k % 19 = 0 then 'Reland ' || head
+ndocs as (select greatest(count(*), 1) as n from documents),
+msg0 as (select c.*, commit_id - 1 as k, coalesce(d.text, '') as text, ((c.commit_id - 1) // ndocs.n) % 3 = 0 as told from commits c cross join ndocs left join documents d on d.doc_id = (c.commit_id - 1) % ndocs.n),
+msg1 as (select *, trim(split_part(text, chr(10), 1)) as head, case when told and contains(text, chr(10)) then trim(substr(text, strpos(text, chr(10)) + 1), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) else '' end as body from msg0),
+msg2 as (select *, trim(case when k % 13 = 0 then 'update' when k % 17 = 0 then 'chore: run formatter' when k % 19 = 0 then 'Reland ' || head when k % 23 = 0 then 'Merge pull request #' || k || ' from topic'
            else case pri {' '.join(f"when '{p}' then '{s}'" for p, s in SUBJECTS.items())} end || head end || case when k % 7 = 0 then ' (#' || k || ')' else '' end) as subject,
-         case when k % 3 = 0 then trim(substr(regexp_replace(text, '\\s+', ' ', 'g'), {LINE + 1}, 200)) else '' end as body,
-         case when k % 5 = 0 then 'Co-authored-by: Helper ' || (k % 97) || ' <helper' || (k % 97) || '@example.org>' else '' end as trailer from msg1),
+         case when k % 5 = 0 then 'Co-authored-by: Helper ' || (k % 97) || ' <helper' || (k % 97) || '@example.org>' end as helper,
+         case when k % 29 = 1 then 'Change-Id: I' || sha1(k::varchar) when k % 29 = 2 then 'PR-URL: https://example.org/r/pull/' || k end as review from msg1),
+msg3 as (select *, concat_ws(chr(10), helper, review) as trailer from msg2),
 messages as (select commit_id, author_id, authored_at, committed_at, subject || case when body <> '' then chr(10) || chr(10) || body else '' end || case when trailer <> '' then chr(10) || chr(10) || trailer else '' end as message,
-         subject, body, trailer, body <> '' as has_body, case when trailer <> '' then 1 else 0 end as n_trailers from msg2),
+         subject, body, helper, review, body <> '' as has_body, (case when helper is not null then 1 else 0 end) + (case when review is not null then 1 else 0 end) as n_trailers from msg3),
 parents as (select commit_id as child_id, commit_id - 1 as parent_id, 0 as ordinal from commits where commit_id > 1
          union all select commit_id, commit_id - 7, 1 from commits where commit_id > 7 and (commit_id - 1) % 11 = 0),
 people as (select c_custkey + 1 as person_id, c_name as name, 'Customer' || c_custkey || '+dev@' || replace(n_name, ' ', '-') || '.example' as email, c_mktsegment = 'MACHINERY' as is_bot

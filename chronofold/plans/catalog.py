@@ -193,21 +193,27 @@ def distinct_significant(h: History) -> DataFrame:
     return L.distinct_summaries(rows, 10)
 
 
-@query("select commit_id, subject, case when body <> '' then body end as body, case when trailer <> '' then 1 else 0 end as trailers from messages")
+@query("select commit_id, subject, case when body <> '' then body end as body, n_trailers as trailers from messages")
 def message_parts(h: History) -> DataFrame:
     rows = h.messages.select("commit_id", C.message_parts(F.col("message")).alias("m"))
     return rows.select("commit_id", "m.subject", "m.body", F.size("m.trailers").alias("trailers"))
 
 
-@query("select regexp_extract(trailer, ': (.*) <', 1) as name, regexp_extract(trailer, '<(.*)>', 1) as email, count(*) as commits from messages where trailer <> '' group by all")
+@query("select regexp_extract(helper, ': (.*) <', 1) as name, regexp_extract(helper, '<(.*)>', 1) as email, count(*) as commits from messages where helper is not null group by all")
 def coauthors(h: History) -> DataFrame:
     rows = h.messages.select(F.explode(C.co_authors(C.message_parts(F.col("message"))["trailers"])).alias("c"))
     return rows.select("c.name", "c.email").groupBy("name", "email").agg(F.count(F.lit(1)).alias("commits"))
 
 
-@query("select commit_id, cast(unnest(regexp_extract_all(subject, '\\(#(\\d+)\\)', 1)) as bigint) as reference from messages")
+@query(
+    "select distinct commit_id, kind, reference from (select commit_id, 'pull-request' as kind, unnest(regexp_extract_all(subject, '\\(#(\\d+)\\)', 1)) as reference from messages union all select commit_id, 'pull-request', regexp_extract(subject, '^Merge pull request #(\\d+)', 1) from messages "
+    "union all select commit_id, 'pull-request', regexp_extract(review, '^PR-URL: .*/pull/(\\d+)$', 1) from messages union all select commit_id, 'change-id', regexp_extract(review, '^Change-Id: (.*)$', 1) from messages) where reference <> ''"
+)
 def pr_references(h: History) -> DataFrame:
-    return h.messages.select("commit_id", F.explode(F.regexp_extract_all("subject", F.lit(r"\(#(\d+)\)"), F.lit(1))).alias("reference")).select("commit_id", F.col("reference").cast("long").alias("reference"))
+    """Pull requests and change ids that messages name."""
+    from chronofold.operators.evidence import references
+
+    return references(h.messages)
 
 
 @query(
@@ -258,12 +264,16 @@ def timeline_month(h: History) -> DataFrame:
 
 _ERA = """er as (select commit_id, author_id, cast(date_trunc('week', to_timestamp(authored_at) at time zone 'UTC') as date) as week from commits), ew as (select week, count(*) as commits, count(distinct author_id) as authors from er group by all),
 ed as (select week, case when contains(path, '/') then split_part(path, '/', 1) else '' end as directory, count(*) as n, sum(insertions - deletions) as delta from changes join er using (commit_id) join files using (file_id) group by all),
-es as (select week, -sum(p * log2(p)) as entropy, sum(delta) as loc_delta from (select *, n / sum(n) over (partition by week) as p from ed) group by week), era as (select * from ew left join es using (week))"""
+es as (select week, -sum(p * log2(p)) as entropy, sum(delta) as loc_delta from (select *, n / sum(n) over (partition by week) as p from ed) group by week),
+ex as (select week, regexp_extract(path, '\\.([^./]*)$', 1) as extension, cast(count(*) as double) as n from changes join er using (commit_id) join files using (file_id) group by all),
+en as (select week, sqrt(sum(n * n)) as norm, row_number() over (order by week) as nth from ex group by week),
+em as (select c.week, case when p.week is null then 0e0 else 1 - coalesce((select sum(x.n * y.n) from ex x join ex y using (extension) where x.week = c.week and y.week = p.week), 0) / (c.norm * p.norm) end as extension_mix from en c left join en p on p.nth = c.nth - 1),
+era as (select * from ew left join es using (week) left join em using (week))"""
 
 
-@query(f", {_ERA} select cast(week as varchar) as week, commits, authors, round(entropy, 6) as entropy, cast(loc_delta as bigint) as loc_delta from era")
+@query(f", {_ERA} select cast(week as varchar) as week, commits, authors, round(entropy, 6) as entropy, cast(loc_delta as bigint) as loc_delta, round(extension_mix, 6) + 0e0 as extension_mix from era")
 def era_series(h: History) -> DataFrame:
-    return R.era_series(h.commits, h.changes, h.files).select(F.col("week").cast("string").alias("week"), "commits", "authors", r6("entropy"), "loc_delta")
+    return R.era_series(h.commits, h.changes, h.files).select(F.col("week").cast("string").alias("week"), "commits", "authors", r6("entropy"), "loc_delta", r6(F.round("extension_mix", 6) + 0.0, "extension_mix"))
 
 
 @query(f", {_ERA}, md as (select median(commits) as a, median(authors) as b from era), mm as (select median(abs(commits - a)) as sa, median(abs(authors - b)) as sb from era, md) select cast(week as varchar) as week, round(coalesce((commits - a) / nullif(sa * 1.4826, 0), 0), 6) as commits, round(coalesce((authors - b) / nullif(sb * 1.4826, 0), 0), 6) as authors from era, md, mm")
@@ -310,14 +320,13 @@ def bot_flags(h: History) -> DataFrame:
     return h.people.select("person_id", C.normal_name(F.col("name")).alias("name"), C.is_bot(F.col("name"), F.col("email")).alias("is_bot"))
 
 
-@query("select a.person_id as a, b.person_id as b, round(jaro_winkler_similarity(lower(a.name), lower(b.name)), 6) as similarity from people a join people b on a.person_id < b.person_id and b.person_id - a.person_id < 3 where jaro_winkler_similarity(lower(a.name), lower(b.name)) >= 0.92")
+@query("with n as (select distinct lower(trim(p_name)) as name from part where p_name <> '') select a.name as a, b.name as b, round(jaro_winkler_similarity(a.name, b.name), 6) as similarity from n a join n b on a.name < b.name where jaro_winkler_similarity(a.name, b.name) >= 0.92", bound=False)
 def name_similarity(h: History) -> DataFrame:
-    """Jaro-Winkler of neighbouring people's names; a vectorised function on candidate pairs only."""
-    from chronofold.operators.lineage import similarity
+    """All pairs of similar names among the different names of parts (people's names are all alike in these tables)."""
+    from chronofold.operators.lineage import similar_names
 
-    a = h.people.select(F.col("person_id").alias("a"), C.normal_name(F.col("name")).alias("x"))
-    b = h.people.select(F.col("person_id").alias("b"), C.normal_name(F.col("name")).alias("y"), F.explode(F.array(F.col("person_id") - 1, F.col("person_id") - 2)).alias("a"))
-    return a.join(b, "a").select("a", "b", similarity(F.col("x"), F.col("y")).alias("s")).where(F.col("s") >= V.NAME_SIMILARITY).select("a", "b", r6("s", "similarity"))
+    names = h.table("part").select(C.normal_name(F.col("p_name")).alias("name"))
+    return similar_names(names).select("a", "b", r6("similarity"))
 
 
 # -- files, pages, intervals, search ----------------------------------------------------------------------------
@@ -352,9 +361,9 @@ def commit_summary(h: History) -> DataFrame:
     return rows.select("commit_id", "author_id", "insertions", "deletions", "files", F.array_join(F.col("parents").cast("array<string>"), ",").alias("parents"))
 
 
-@query("select child_id, parent_id, ordinal from parents where child_id % 11 = 1")
+@query("select child_id, parent_id, ordinal from parents")
 def parents_of(h: History) -> DataFrame:
-    return h.parents.where("child_id % 11 = 1")
+    return h.parents
 
 
 @query("select a.path, c.commit_id, cast(b.file_id as double) as file_id from aliases a join (select unnest([1, 50, 400, 999, 5000]) as commit_id) c on true left join aliases b on b.path = a.path and b.from_commit <= c.commit_id and (b.to_commit is null or b.to_commit > c.commit_id)")
@@ -368,17 +377,19 @@ def commits_touching_range(h: History) -> DataFrame:
     return L.commits_touching(h.hunks, h.commits, 11, 20, 60)
 
 
-@query("select f.file_id, r.s as start, r.e as \"end\", x.commit_id, x.new_start, x.new_len from files f, (select unnest([1, 30]) as s, unnest([15, 45]) as e) r, hunks x where x.file_id = f.file_id and f.m = 4 and x.new_len > 0 and x.new_start < r.e and x.new_start + x.new_len > r.s")
+@query("select f.file_id, r.s as start, r.e as \"end\", x.commit_id, x.new_start, x.new_len from files f, (select unnest([1, 30]) as s, unnest([15, 45]) as e) r, hunks x where x.file_id = f.file_id and x.new_len > 0 and x.new_start < r.e and x.new_start + x.new_len > r.s")
 def range_join_hunks(h: History) -> DataFrame:
     pair = F.struct(F.lit(1).alias("start"), F.lit(15).alias("end")), F.struct(F.lit(30).alias("start"), F.lit(45).alias("end"))
-    ranges = h.files.where("path like 'src/core/%'").select("file_id", F.explode(F.array(*pair)).alias("r")).select("file_id", "r.start", "r.end")
+    ranges = h.files.select("file_id", F.explode(F.array(*pair)).alias("r")).select("file_id", "r.start", "r.end")
     return L.overlapping_hunks(h.hunks, ranges)
 
 
-@query("select commit_id from commits where commit_id <= 150")
+@query("with recursive commits as (select o_orderkey + 1 as commit_id from orders), up as (select max(commit_id) as commit_id from commits union select p.parent_id from up join (select commit_id as child_id, commit_id - 1 as parent_id from commits where commit_id > 1 union all select commit_id, commit_id - 7 from commits where commit_id > 7 and (commit_id - 1) % 11 = 0) p on p.child_id = up.commit_id) select commit_id from up", bound=False)
 def ancestors(h: History) -> DataFrame:
+    """The newest commit and all above it."""
     one = F.lit("repo").alias("repo_id")
-    return L.ancestors_by_repository(h.parents.select(one, "child_id", "parent_id"), h.commits.where("commit_id = 150").select(one, "commit_id")).select("commit_id")
+    newest = h.commits.agg(F.max("commit_id").alias("commit_id")).where("commit_id is not null")
+    return L.ancestors_by_repository(h.parents.select(one, "child_id", "parent_id"), newest.select(one, "commit_id")).select("commit_id")
 
 
 @query("select p.child_id, p.parent_id, p.ordinal from parents p where p.parent_id not in (select commit_id from commits)")
@@ -481,7 +492,7 @@ def revert_pairs_explicit(h: History) -> DataFrame:
 def _evidence(h: History) -> DataFrame:
     from chronofold.operators import evidence as E
 
-    target = h.files.where("path like 'src/core/%'").select(F.col("path").alias("target"), "file_id", F.lit(10).cast("long").alias("start"), F.lit(40).cast("long").alias("end"))
+    target = h.files.select(F.col("path").alias("target"), "file_id", F.lit(10).cast("long").alias("start"), F.lit(40).cast("long").alias("end"))
     pairs = E.revert_pairs_by_message(h.messages, h.changes)
     items = E.collect_evidence(target, h.commits, h.changes, h.files, h.hunks, pairs, pr_references(h))
     return E.rank_evidence(items, h.commits, _now(h))
@@ -489,7 +500,7 @@ def _evidence(h: History) -> DataFrame:
 
 @query()
 def evidence_ranked(h: History) -> DataFrame:
-    """Ranked and labelled evidence for lines 10 to 40 of the public files."""
+    """Ranked and labelled evidence for lines 10 to 40 of every file."""
     return _evidence(h)
 
 
@@ -502,25 +513,29 @@ def evidence_bundles(h: History) -> DataFrame:
 
 
 @query(
-    "with s as (select conv_id * 1000 + turn as id, list_filter(string_split_regex(text, '[.!?]\\s+'), lambda x: regexp_matches(x, '\\w')) as l from conversations) select id, case when len(l) > 0 and id % 3 = 0 then round(1e0 / len(l), 6) else 0e0 end as ratio, case when id % 3 = 0 and id % 6 = 0 then 1 else 0 end as unknown, case when id % 3 = 0 and len(l) > 0 then case when id % 6 = 0 then 'reject' when 1e0 / len(l) >= 0.95 then 'accept' when 1e0 / len(l) >= 0.7 then 'downgrade' else 'reject' end else 'reject' end as verdict from s",
+    "with s as (select conv_id * 1000 + turn as id, list_filter(string_split_regex(text, '[.!?]\\s+'), lambda x: regexp_matches(x, '\\w')) as l, len(list_distinct(regexp_extract_all(coalesce(text, ''), '\\d+(?:\\.\\d+)*'))) as numbers from conversations), "
+    "t as (select *, case when len(l) > 0 and id % 3 = 0 then 1e0 / len(l) else 0e0 end as r, case when id % 6 = 0 then 1 else 0 end as unknown, case when id % 3 = 0 and id % 6 <> 0 then 0 else numbers end as invented from s) "
+    "select id, round(r, 6) as ratio, unknown, invented, case when unknown > 0 or invented > 0 or r < 0.7 then 'reject' when r >= 0.95 then 'accept' else 'downgrade' end as verdict from t",
     bound=False,
 )
 def citation_check(h: History) -> DataFrame:
-    """Citations of answers: every third has one marker in front, of which every second is for nothing."""
+    """Citations of answers: every third has one marker in front, of which every second is for nothing; the cited item has the answer's numbers."""
     from chronofold.operators.evidence import check_citations
 
     key = F.col("conv_id") * 1000 + F.col("turn")
     marker = F.when(key % 6 == 0, "[E9] ").when(key % 3 == 0, "[E1] ").otherwise("")
-    rows = h.table("conversations").select(key.alias("id"), F.concat(marker, F.coalesce("text", F.lit(""))).alias("text"), F.array(F.lit("E1"), F.lit("E2")).alias("labels"))
+    text = F.coalesce("text", F.lit(""))
+    rows = h.table("conversations").select(key.alias("id"), F.concat(marker, text).alias("text"), F.array(F.lit("E1"), F.lit("E2")).alias("labels"), F.array(text, F.lit("none")).alias("sources"))
     return check_citations(rows)
 
 
-@query()
+@query("select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as events, round(sum(value), 4) as value from events group by all", bound=False)
 def stream_timeline(h: History) -> DataFrame:
     """Daily counts by event type from a stream over the event files."""
     from chronofold.streaming.timeline import events_stream, run_to_memory, windowed_counts
 
-    return run_to_memory(windowed_counts(events_stream(h.spark, f"{h.dir}/events.parquet")), "event_timeline_stream")
+    rows = run_to_memory(windowed_counts(events_stream(h.spark, f"{h.dir}/events.parquet")), "event_timeline_stream")
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "events", F.round("value", 4).alias("value"))
 
 
 @query("select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as events, round(sum(value), 4) as value from events group by all", bound=False)
@@ -557,7 +572,7 @@ def introducing_commits(h: History) -> DataFrame:
     return L.introducing_commits(fixes, both)
 
 
-@query("select commit_id, lower(regexp_extract(trailer, '^([A-Za-z-]+):', 1)) as key, regexp_extract(trailer, ': (.*)$', 1) as value from messages where trailer <> ''")
+@query(", t as (select commit_id, helper as line from messages where helper is not null union all select commit_id, review from messages where review is not null) select commit_id, lower(regexp_extract(line, '^([A-Za-z-]+):', 1)) as key, regexp_extract(line, ': (.*)$', 1) as value from t")
 def trailer_values(h: History) -> DataFrame:
     rows = h.messages.select("commit_id", F.explode(C.message_parts(F.col("message"))["trailers"]).alias("t"))
     return rows.select("commit_id", "t.key", "t.value")

@@ -1,5 +1,7 @@
 """Folds, readers, store, searches and evidence on small inline tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -258,8 +260,9 @@ def test_reverts(spark):
 def test_citations_and_segments(spark):
     import numpy as np
 
-    answers = spark.createDataFrame([(1, "A [E1]. B [E2].", ["E1", "E2"]), (2, "A [E1]. B [E9].", ["E1"]), (3, "A [E1]. B.", ["E1"]), (4, "", [])], "id long, text string, labels array<string>")
-    assert {r["id"]: r["verdict"] for r in E.check_citations(answers).collect()} == {1: "accept", 2: "reject", 3: "reject", 4: "reject"}
+    said = [(1, "A 7 [E1]. B 1.2 [E2].", ["E1", "E2"], ["7 and 8", "v1.2"]), (2, "A [E1]. B [E9].", ["E1"], [""]), (3, "A [E1]. B.", ["E1"], [""]), (4, "", [], []), (5, "A 77 [E1].", ["E1", "E2"], ["7 and 8", "77"]), (6, "A [E1]. B [E1]. C [E1]. D.", ["E1"], [None])]
+    answers = spark.createDataFrame(said, "id long, text string, labels array<string>, sources array<string>")
+    assert {r["id"]: r["verdict"] for r in E.check_citations(answers).collect()} == {1: "accept", 2: "reject", 3: "reject", 4: "reject", 5: "reject", 6: "downgrade"}
     x = np.concatenate([np.zeros(40), np.full(30, 9.0), np.full(50, -5.0)])[:, None]
     assert E.segment(x) == [0, 40, 70]
     cells = E.squarify([6, 6, 4, 3, 2, 2, 1], 0, 0, 6, 4)
@@ -277,3 +280,42 @@ def test_streams(spark, tmp_path):
     timeline.load_incrementally(timeline.events_stream(spark, str(tmp_path / "events")), store, "events", ["event_id"], str(tmp_path / "cp2"))
     assert store.read("events").count() == 30 and store.meta()["index_state"] == "ready"
     assert timeline.sessions(spark.read.parquet(str(tmp_path / "events"))).count() == 6
+
+
+def test_similar_names_are_all_pairs(spark):
+    from chronofold.functions.columns import jaro_winkler
+
+    rng = random.Random(6)
+    names = {"".join(rng.choice("abcd e") for _ in range(rng.randint(1, 9))) for _ in range(150)} | {"jon smith", "john smith", "jon smyth", "smith jon", "a", "aa"}
+    names |= {n[:-1] + "x" for n in list(names) if len(n) > 4}
+    want = {(a, b) for a in names for b in names if a < b and jaro_winkler(a, b) >= 0.92}
+    got = lineage.similar_names(spark.createDataFrame([(n,) for n in [*names, "", None, "a"]], "name string")).collect()
+    assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) > 20
+
+
+def test_references(spark):
+    rows = [(1, "fix (#12) and (#13)"), (2, "Merge pull request #7 from a/b"), (3, "x\n\nbody\n\nPR-URL: https://h/o/r/pull/55\nChange-Id: I" + "0a" * 20), (4, "nothing #5"), (5, "y (#55)\n\nPR-URL: https://h/o/r/pull/55")]
+    frame = spark.createDataFrame([(i, m, m.split("\n")[0]) for i, m in rows], "commit_id long, message string, subject string")
+    got = sorted(map(tuple, E.references(frame).collect()))
+    assert got == [(1, "pull-request", "12"), (1, "pull-request", "13"), (2, "pull-request", "7"), (3, "change-id", "I" + "0a" * 20), (3, "pull-request", "55"), (5, "pull-request", "55")]
+
+
+def test_eras_snap_to_the_nearest_release(spark):
+    import datetime as dt
+
+    day = dt.date(2020, 1, 6)
+    rows = [(day + dt.timedelta(weeks=i), (5 if i < 40 else 50 if i < 80 else 9) + i % 4, 2, 0.5, 1, 0.0) for i in range(120)]
+    series = spark.createDataFrame(rows, "week date, commits long, authors long, entropy double, loc_delta long, extension_mix double")
+    at = lambda d: int(dt.datetime(d.year, d.month, d.day, tzinfo=dt.timezone.utc).timestamp())
+    week40, week80 = day + dt.timedelta(weeks=40), day + dt.timedelta(weeks=80)
+    tags = spark.createDataFrame([(at(week40 + dt.timedelta(days=x)),) for x in (-5, 5, 30)] + [(at(week80 + dt.timedelta(days=20)),)], "tagged_at long")
+    got = {r["era"]: r["start"] for r in E.eras(series, tags).collect()}
+    assert got[1] == day and week40 - dt.timedelta(days=5) in got.values() and week80 in got.values()
+
+
+def test_treemap_covers_the_whole_in_path_order(spark):
+    rows = [("a", "a/1", 30), ("a", "a/2", 10), ("b", "b/1", 60)]
+    got = {r["path"]: r for r in E.treemap(spark.createDataFrame(rows, "directory string, path string, size long"), 100.0, 100.0).collect()}
+    assert {p: round(r["w"] * r["h"]) for p, r in got.items()} == {"a/1": 3000, "a/2": 1000, "b/1": 6000}
+    place = [(got[p]["x"], got[p]["y"]) for p in ("a/1", "a/2", "b/1")]
+    assert place == [(0.0, 0.0), (75.0, 0.0), (0.0, 40.0)]
