@@ -23,9 +23,12 @@ def churn() -> Column:
 
 
 def source_changes(changes: DataFrame, commits: DataFrame, files: DataFrame) -> DataFrame:
-    """Changes of source files with their commit's author, time and subject: what all file rollups read."""
+    """Changes of source files with their commit's author, time and (if commits have subjects) whether it is a fix: what all file rollups read.
+
+    Subjects are judged once a commit and do not travel with its changes.
+    """
     source = files.where(C.file_flags(F.col("path")).bitwiseAND(V.NON_SOURCE) == 0).select("file_id")
-    said = commits.select("commit_id", "author_id", "authored_at", *[c for c in ("subject",) if c in commits.columns])
+    said = commits.select("commit_id", "author_id", "authored_at", *([C.is_fix(F.col("subject")).alias("is_fix")] if "subject" in commits.columns else []))
     return changes.join(source, "file_id", "left_semi").join(said, "commit_id").withColumn("churn", churn())
 
 
@@ -77,7 +80,7 @@ def islands(owned: DataFrame, seen: DataFrame, now: Column) -> DataFrame:
 def hotspots(source: DataFrame, now: Column) -> DataFrame:
     """By file with two changes or more: churn share x peak share x recency x (1 + fix density)."""
     files = source.groupBy("file_id").agg(
-        F.sum("churn").alias("churn"), F.count(F.lit(1)).alias("changes"), F.avg(F.when(C.is_fix(F.col("subject")), 1.0).otherwise(0.0)).alias("fix_density"), F.max("authored_at").alias("last_at"), F.max("churn").alias("peak")
+        F.sum("churn").alias("churn"), F.count(F.lit(1)).alias("changes"), F.avg(F.when(F.col("is_fix"), 1.0).otherwise(0.0)).alias("fix_density"), F.max("authored_at").alias("last_at"), F.max("churn").alias("peak")
     )
     ranked = files.where(F.col("changes") >= V.MIN_HOTSPOT_CHANGES)
     most = ranked.agg(F.max("churn").alias("most_churn"), F.max("peak").alias("most_peak"))

@@ -49,7 +49,8 @@ class History:
         n = self.table("documents").agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("n_docs"))
         key = F.col("commit_id") - 1
         rows = self.commits.crossJoin(F.broadcast(n)).withColumn("doc_id", key % F.col("n_docs")).withColumn("told", F.floor(key / F.col("n_docs")) % 3 == 0).drop("n_docs")
-        rows = rows.join(docs, "doc_id", "left")
+        # Both sides shuffle: a broadcast would leave the work on texts to the few tasks that read the small side's file.
+        rows = rows.join(docs.hint("merge"), "doc_id", "left")
         head, has_body = F.coalesce("head", F.lit("")), F.col("told") & F.coalesce("has_rest", F.lit(False))
         prefix = F.element_at(F.create_map(*[F.lit(x) for p in SUBJECTS.items() for x in p]), F.col("pri"))
         number = key.cast("string")
