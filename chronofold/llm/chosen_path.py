@@ -4,13 +4,17 @@
 2. Every class has COORDINATES samples of its set (the shingle of least hash under each of as many hash functions; two
    sets share a sample with a probability equal to their similarity). In every run, classes are split recursively by a
    sampled coordinate, which the path so far chooses, in a quarter of cases by two; sets stay together where they
-   share the sampled token. Buckets of up to LIMIT classes are done; larger ones are split again, up to DEPTH times.
+   share the sampled token. Buckets of up to LIMIT classes are done, and so are those that several runs have alike; other
+   larger ones are split again, up to DEPTH times.
 3. In each bucket all sets are compared exactly and a spanning forest of the links found goes out, not all pairs. What
    is larger after the last split holds near copies mostly; it is dealt to blocks of LIMIT classes, every run another way,
    and each block has two leaders of the bucket too, so links across blocks are found through them.
-4. The first runs' links make components. Of the other runs' buckets, only those in which components meet are compared; in larger
-   ones, members outside the bucket's main component are compared with all of its blocks, so the blocks lose no link
-   between components. Components of all links are the groups.
+4. The first runs' links make components. Of the other runs' buckets, only those in which components meet are compared, in the same way.
+   Where components still meet in a bucket of more than LIMIT classes, cells of LIMIT members outside its main component
+   are compared with LIMIT of it, and with each other, so no link between components is lost; a main component meets its outsiders
+   once, not in every run. Where more than DENSE members are outside (texts of one template, too far apart for a link), the bucket is
+   first split by prefixes: of sets at the threshold each has one of the other's rarest shingles among its own rarest (all but ``threshold`` of
+   them, and one), whatever order of rarity is used; here it comes from some 32 members. Components of all links are the groups.
 5. Links are counted exactly within components, in pairs of blocks that give a sum for each class: rows grow with a
    component's size times its blocks, never with its pairs. (Counting exactly is quadratic work in a component's
    different texts; copies cost nothing.)
@@ -43,12 +47,16 @@ RECALL = 0.9999
 COORDINATES = 64
 LIMIT = 128
 DEPTH = 3
+#: Members outside a bucket's main component beyond which the bucket is split by prefixes.
+DENSE = 1024
 #: Runs whose buckets are all compared.
 FIRST_RUNS = 2
 #: Links are counted in pairs of blocks of so many classes; in larger groups FEW_BLOCKS wider blocks, up to WIDE_BLOCK, keep the rows few.
 COUNT_BLOCK, WIDE_BLOCK, FEW_BLOCKS = 256, 1024, 16
 BATCH_BYTES = 1 << 19
 BROADCAST_ROWS = 1_000_000
+#: Bytes of shared shingles, over all dense buckets, that are broadcast; beyond it both sides shuffle.
+COMMON_BYTES = 16 << 20
 
 _rng = np.random.default_rng(11)
 _A = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -182,20 +190,21 @@ def _split(rows: DataFrame) -> DataFrame:
 
 
 def _buckets(classes: DataFrame, runs: int) -> DataFrame:
-    """Members (run, path, cls, n) of the final buckets: those of up to LIMIT classes, and those that stay larger."""
+    """Members (run, path, cls, n) of the final buckets: those of up to LIMIT classes, those that several runs have, and those that stay larger."""
     out, rows = None, classes.select("cls", "sig", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run")).withColumn("path", F.xxhash64("run"))
     for level in range(DEPTH):
         members = stored(_split(rows), f"level{level}")
         mark = F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mark")
         counts = stored(members.groupBy("path", "run").agg(F.count(F.lit(1)).alias("n"), mark).where("n > 1"), f"counts{level}")
+        # The fingerprint of a bucket's members: the same bucket of several runs is compared once, and as a whole (see 4), so it is split no more.
         last = level == DEPTH - 1
-        # The fingerprint of a bucket's members: the same bucket of several runs is compared once. One that is split again goes on by every path.
-        final = counts if last else counts.where(F.col("n") <= LIMIT)
-        final = final.groupBy("n", "mark").agg(F.min(F.struct("run", "path")).path.alias("path")).select("path", "n")
-        done = members.join(final, "path").select("run", "path", "cls", "n")
+        alike = counts.groupBy("n", "mark").agg(F.min(F.struct("run", "path")).path.alias("path"), F.count(F.lit(1)).alias("times")).select("path", "n", "times")
+        alike = stored(alike, f"alike{level}")
+        ends = F.lit(last) | (F.col("n") <= LIMIT) | (F.col("times") > 1)
+        done = members.join(alike.where(ends).select("path", "n"), "path").select("run", "path", "cls", "n")
         out = done if out is None else out.unionByName(done)
         if not last:
-            rows = members.join(counts.where(F.col("n") > LIMIT).select("path"), "path").join(classes.select("cls", "sig"), "cls").select("run", "cls", "sig", "path")
+            rows = members.join(alike.where(~ends).select("path"), "path").join(classes.select("cls", "sig"), "cls").select("run", "cls", "sig", "path")
     return out
 
 
@@ -214,24 +223,123 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterat
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Forest edges of each block (path, block)."""
+    """Links of each block (path, block): a spanning forest over the roots, so what is linked already is not told again."""
     for rows in _grouped(batches, ("path", "block")):
-        if len(rows) < 2:
-            continue
         rows = list({r["cls"]: r for r in rows}.values())
-        linked = linked_pairs([np.frombuffer(r["sh"], "<u4") for r in rows])
-        edges = forest(linked & ~np.eye(len(rows), dtype=bool))
-        if edges:
-            a, b = np.array([(rows[i]["cls"], rows[j]["cls"]) for i, j in edges]).T
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        roots, at = np.unique([r["root"] for r in rows], return_inverse=True)
+        k = len(roots)
+        if k < 2:
+            continue
+        i, j = np.nonzero(np.triu(linked_pairs([np.frombuffer(r["sh"], "<u4") for r in rows]), 1))
+        apart = at[i] != at[j]
+        i, j = i[apart], j[apart]
+        pairs, first = np.unique(np.minimum(at[i], at[j]) * k + np.maximum(at[i], at[j]), return_index=True)
+        if not len(pairs):
+            continue
+        told = dict(zip(pairs.tolist(), first.tolist()))
+        linked = np.zeros((k, k), bool)
+        linked[pairs // k, pairs % k] = linked[pairs % k, pairs // k] = True
+        of = [told[min(x, y) * k + max(x, y)] for x, y in forest(linked)]
+        a, b = np.array([(rows[i[e]]["cls"], rows[j[e]]["cls"]) for e in of]).T
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def _edges(blocks: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links (a < b) found in blocks (path, block, cls)."""
-    rows = blocks.join(sets, "cls").select("path", "block", "cls", "sh")
+    """Links (a < b) found in blocks (path, block, cls, root)."""
+    rows = blocks.join(sets, "cls").select("path", "block", "cls", "root", "sh")
     return rows.repartition("path", "block").sortWithinPartitions("path", "block").mapInArrow(_compare, "a long, b long").distinct()
 
 
+def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(path, cls, root) of rows (path, cls): the component, or the class itself."""
+    return rows.join(found, rows["cls"] == found["v"], "left").select("path", "cls", F.coalesce(found["root"], rows["cls"]).alias("root"))
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(path, block, cls, root) of buckets (path, cls, root, n): one block up to LIMIT members; blocks of larger buckets share two leaders."""
+    n_blocks = F.ceil(F.col("n") / LIMIT).cast("long")
+    order = F.struct(F.xxhash64("path", "cls").alias("lead"), "cls", "root")
+    leaders = rows.where(F.col("n") > LIMIT).groupBy("path", "n").agg(F.array(F.min(order), F.max(order)).alias("heads"))
+    leaders = leaders.select("path", "heads", F.explode(F.sequence(F.lit(0).cast("long"), n_blocks - 1)).alias("block")).select("path", "block", F.explode("heads").alias("h"))
+    return rows.select("path", F.pmod(F.xxhash64("cls", "path"), n_blocks).alias("block"), "cls", "root").unionByName(leaders.select("path", "block", "h.cls", "h.root"))
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """(path, block, cls, root) of rows (path, cls, root, main, m, o): cells in which every member outside ``main`` meets all others.
+
+    m members are in the main component and o are not; a cell has about LIMIT of either.
+    """
+    k_main, k_other = (F.ceil(F.col(c) / LIMIT).cast("long") for c in ("m", "o"))
+    is_main = F.col("root") == F.col("main")
+    at = F.pmod(F.xxhash64("cls", "path"), F.when(is_main, k_main).otherwise(k_other))
+    wide = 1 << 31
+    with_others = F.transform(F.sequence(F.lit(0).cast("long"), k_other - 1), lambda c: c * wide + at)
+    with_main = F.transform(F.sequence(F.lit(0).cast("long"), k_main - 1), lambda j: at * wide + j)
+    # Others of one part meet in their cells with the main ones; parts meet in cells below zero.
+    apart = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), k_other - 1), lambda x: x != at), lambda x: -1 - F.least(at, x) * wide - F.greatest(at, x))
+    return rows.select("path", "cls", "root", F.explode(F.when(is_main, with_others).otherwise(F.concat(with_main, apart))).alias("block")).select("path", "block", "cls", "root")
+
+
+def _with_main(rows: DataFrame) -> DataFrame:
+    """rows (path, cls, root) of the paths where components meet, with the largest one (main), its members (m) and the others (o)."""
+    counts = rows.groupBy("path", "root").agg(F.count(F.lit(1)).alias("c"))
+    main = counts.groupBy("path").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("m"), (F.sum("c") - F.max("c")).alias("o")).where("o > 0")
+    return rows.join(main, "path").select("path", "cls", "root", "main", "m", "o")
+
+
+def _by_main(rows: DataFrame, small: int = 0) -> DataFrame:
+    """Buckets (of ``_with_main``) of more than ``small`` members put together by main component, so that it meets its outsiders once, not in
+    every run or list. Buckets of more than DENSE outsiders stay as they are."""
+    stay = (F.col("m") + F.col("o") <= small) | (F.col("o") > DENSE)
+    joined = rows.where(~stay).select(F.xxhash64("main", F.lit("main")).alias("path"), "cls", "root").distinct()
+    return rows.where(stay).unionByName(_with_main(joined))
+
+
+def _common(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, common): the shingles that two or more of a path's sampled sets have, the rarest first."""
+    for rows in _grouped(batches, ("path",)):
+        values, n = np.unique(np.concatenate([np.frombuffer(r["sh"], "<u4") for r in rows]), return_counts=True)
+        values, n = values[n > 1], n[n > 1]
+        yield pa.RecordBatch.from_arrays([pa.array([rows[0]["path"]], pa.int64()), pa.array([values[np.argsort(n, kind="stable")].tobytes()], pa.binary())], names=["path", "common"])
+
+
+def prefix(x: np.ndarray, common: np.ndarray, threshold: float = THRESHOLD) -> np.ndarray:
+    """The rarest of a set's shingles, one of which any set at the threshold has among its own: those that are not common, then the common ones in their order."""
+    order = np.argsort(common, kind="stable")
+    at = np.searchsorted(common, x, sorter=order)
+    rank = np.full(len(x), -1)
+    if len(common):
+        where = order[np.minimum(at, len(common) - 1)]
+        rank = np.where(common[where] == x, where, -1)
+    keep = len(x) - math.ceil(threshold * len(x) - 1e-6) + 1
+    return x[np.lexsort((x, rank))][:keep]
+
+
+def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for a in range(0, batch.num_rows, 1024):
+            some = batch.slice(a, 1024)
+            tokens = [prefix(np.frombuffer(r["sh"], "<u4"), np.frombuffer(r["common"] or b"", "<u4")).view(np.int32) for r in some.select(["sh", "common"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(some.column(c) for c in ("path", "cls", "root")), pa.array(tokens, pa.list_(pa.int32()))], names=["path", "cls", "root", "tokens"])
+        pa.default_memory_pool().release_unused()
+
+
+def _prefix_lists(dense: DataFrame, sets: DataFrame) -> DataFrame:
+    """dense (path, cls, root, m, o) dealt to the lists of its prefixes in which components meet: (path, cls, root), a path for each list.
+
+    Lists with the same members are one.
+    """
+    some = dense.where(F.pmod(F.xxhash64("path", "cls"), F.greatest(F.lit(1), F.floor((F.col("m") + F.col("o")) / 32))) == 0).select("path", "cls")
+    common = stored(some.join(sets, "cls").select("path", "sh").repartition("path").sortWithinPartitions("path").mapInArrow(_common, "path long, common binary"), "common")
+    size = common.agg(F.sum(F.length("common") + 16)).first()[0] or 0
+    rows = dense.join(sets, "cls").join(F.broadcast(common) if size <= COMMON_BYTES else common, "path", "left")
+    told = rows.select("path", "cls", "root", "sh", "common").mapInArrow(_prefixes, "path long, cls long, root long, tokens array<int>")
+    told = stored(told.select(F.explode("tokens").alias("token"), "path", "cls", "root").select(F.xxhash64("path", "token").alias("path"), "cls", "root"), "prefixes")
+    mark = F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mark")
+    lists = told.groupBy("path").agg(F.count(F.lit(1)).alias("n"), mark, F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    return told.join(lists.groupBy("n", "mark").agg(F.min("path").alias("path")).select("path"), "path")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(v, root) of every vertex of edges (a, b): root is the least vertex of its component.
 
@@ -290,25 +398,23 @@ def similar_groups(docs: DataFrame, recall: float = RECALL) -> DataFrame:
     classes = stored(classes.select("key", F.col("best.row_id").alias("cls"), "best", "size", "sig"), "classes")
     buckets = stored(_buckets(classes, n_runs(THRESHOLD, recall)), "buckets")
     sets = _some_sets(digest, buckets)
-    n_blocks = F.ceil(F.col("n") / LIMIT).cast("int")  # one for a bucket of up to LIMIT
-    block = F.pmod(F.xxhash64("cls", "path"), n_blocks).cast("int").alias("block")
-    every_block = F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("block")
-    # The first runs find most links; larger buckets' blocks share two leaders.
-    early = buckets.where(F.col("run") <= FIRST_RUNS)
-    order = F.struct(F.xxhash64("path", "cls").alias("lead"), "cls")
-    leaders = early.where(F.col("n") > LIMIT).groupBy("path", "n").agg(F.array(F.min(order).cls, F.max(order).cls).alias("heads"))
-    leaders = leaders.select("path", "heads", every_block).select("path", "block", F.explode("heads").alias("cls"))
-    edges = stored(_edges(early.select("path", block, "cls").unionByName(leaders), sets), "links")
+    # The first runs find most links.
+    early = buckets.where(F.col("run") <= FIRST_RUNS).withColumn("root", F.col("cls"))
+    edges = stored(_edges(_blocks(early), sets), "links")
+    found = stored(components(edges), "components")
+    # After them, only buckets in which different components meet can tell anything new.
+    rest = buckets.where((F.col("run") > FIRST_RUNS) | (F.col("n") > LIMIT)).select("path", "cls", "n")
+    meet = stored(_with_main(_labelled(rest, found)).select("path", "cls", "root", (F.col("m") + F.col("o")).alias("n")), "meet")
+    edges = stored(edges.unionByName(_edges(_blocks(meet), sets)), "links")
     found = stored(components(edges), "components")
-    # After them, only buckets in which different components meet can tell anything new; in those of more than one block,
-    # members outside the bucket's main component meet all blocks.
-    rest = buckets.where((F.col("run") > FIRST_RUNS) | (F.col("n") > LIMIT))
-    labelled = stored(rest.join(found, rest["cls"] == found["v"], "left").select("path", "cls", "n", F.coalesce("root", "cls").alias("root")), "labelled")
-    main = labelled.groupBy("path", "root").count().groupBy("path").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").drop("roots")
-    split = stored(labelled.join(main, "path"), "split")
-    others = split.where((F.col("root") != F.col("main")) & (F.col("n") > LIMIT)).select("path", "cls", every_block).select("path", "block", "cls")
-    again = _edges(others.unionByName(split.select("path", block, "cls")).distinct(), sets)
-    found = stored(components(edges.unionByName(again)), "components")
+    # What then still meets in a bucket of more than one block is compared across its blocks.
+    split = stored(_by_main(_with_main(_labelled(meet.where(F.col("n") > LIMIT), found)), LIMIT), "split")
+    if not split.isEmpty():
+        dense = split.where(F.col("o") > DENSE)
+        cells = _cells(split.where(F.col("o") <= DENSE))
+        if not dense.isEmpty():
+            cells = cells.unionByName(_cells(_by_main(_with_main(_prefix_lists(dense, sets)))))
+        found = stored(components(edges.unionByName(_edges(cells, sets))), "components")
     members = found.join(classes.select("cls", "best", "size"), found["v"] == F.col("cls")).select("root", "cls", "best", "size")
     members = stored(members, "members")
     groups = stored(members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("size").alias("group_size"), F.min("best").alias("first")), "groups")

@@ -387,6 +387,50 @@ def test_chosen_path_keeps_every_runs_path_of_a_large_bucket(spark, monkeypatch)
     assert {r["group_size"] for r in got} == {13}
 
 
+def test_prefixes_lose_no_pair():
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 1 << 32, 100, dtype=np.uint64).astype(np.uint32)
+    sets = []
+    for i in range(120):
+        x = base.copy()
+        at = rng.choice(100, rng.integers(0, 16), replace=False)
+        x[at] = rng.integers(0, 1 << 32, len(at), dtype=np.uint64).astype(np.uint32)
+        sets.append(np.unique(x[: rng.integers(1, 101)] if i % 3 == 0 else x))
+    for common in (np.zeros(0, np.uint32), base[:50], rng.permutation(base)):
+        cut = [set(chosen_path.prefix(x, common).tolist()) for x in sets]
+        for i, j in np.argwhere(np.triu(chosen_path.linked_pairs(sets), 1)):
+            assert cut[i] & cut[j]
+
+
+def test_a_template_stays_in_small_cells(spark, monkeypatch):
+    """Many texts of one template at a similarity of about 0.64, and two linked pairs and a linked outlier among them."""
+    rng = random.Random(21)
+    template = [sentence(rng, 1) + str(i) for i in range(240)]
+    known = []
+    for i in range(700):
+        w = list(template)
+        for k in range(0, 240, 24):  # each change touches five shingles
+            w[k + (i % 3)] = f"own{i}x{k}"
+        known.append((i, " ".join(w)))
+    known += [(1000, known[5][1].replace("own5x0", "other")), (1001, known[9][1] + " two more")]
+    frame = spark.createDataFrame(known, "doc_id long, text string").repartition(4)
+    sizes = []
+    plain_edges = chosen_path._edges
+
+    def edges(blocks, sets):
+        blocks = chosen_path.stored(blocks, "blocks")
+        n = blocks.groupBy("path", "block").count().agg(F.max("count"), F.sum("count")).first()
+        sizes.append(tuple(n))
+        return plain_edges(blocks, sets)
+
+    monkeypatch.setattr(chosen_path, "_edges", edges)
+    monkeypatch.setattr(chosen_path, "DENSE", chosen_path.LIMIT)
+    got = {r["doc_id"]: (r["class_id"], r["group_size"], r["n_links"]) for r in chosen_path.similar_groups(frame).collect()}
+    want = similar([(i, x) for i, x in known])
+    assert got == {w[0]: w[1:] for w in want}
+    assert max(m or 0 for m, _ in sizes) <= 2.5 * chosen_path.LIMIT and sum(t or 0 for _, t in sizes) < 60 * len(known)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 300)]
     got = {r["v"]: r["root"] for r in chosen_path.components(spark.createDataFrame(edges, "a long, b long")).collect()}
