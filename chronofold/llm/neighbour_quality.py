@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from chronofold.llm.line_rules import WHITE, span_hashes
 from chronofold.llm.shared import text_of
@@ -146,14 +147,14 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
                 c = term_counts([batch.column(1)[i].as_py().encode()])[0]
                 at = np.flatnonzero(c)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, 1), batch.column(2).slice(i, 1), pa.array([at.astype("<u2").tobytes()]), pa.array([np.minimum(c[at], 65535).astype("<u2").tobytes()])], names=["doc_id", "quality", "at", "n"]
+                    [batch.column(0).slice(i, 1), batch.column(2).slice(i, 1), pa.array([at.astype("<u2").tobytes()]), pa.array([c[at].astype("<f4").tobytes()])], names=["doc_id", "quality", "at", "n"]
                 )
 
     packed = rows.select("doc_id", "text", "quality").mapInArrow(pack, "doc_id long, quality double, at binary, n binary").collect()
     packed.sort(key=lambda r: (r["doc_id"], bytes(r["at"]), bytes(r["n"])))
     counts = np.zeros((len(packed), TERMS), np.float32)
     for i, r in enumerate(packed):
-        counts[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<u2")
+        counts[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], "<f4")
     return Model(counts, np.array([r["quality"] for r in packed]), 0.5 if shares is None else float(shares))
 
 
@@ -174,8 +175,7 @@ def _scored(docs: DataFrame, model: Model, text: Column, carried: list[Column])
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, end - at) for i in range(len(names))], pa.array(scores)], names=[*names, "score"])
                 at = end
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(score, f"{schema}, score double")
+    return rows.mapInArrow(score, StructType([*rows.schema.fields[:-1], StructField("score", DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:

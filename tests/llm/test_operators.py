@@ -189,6 +189,12 @@ def test_neighbour_quality_is_right_on_held_out_documents(spark):
     assert len(right) == 2 and all(r["a"] > 0.95 for r in right)
 
 
+def test_odd_column_names_pass(spark, docs, labels):
+    odd = docs.selectExpr("*", "1 as `my col`", "named_struct('a b', 2, 'c`d', 3) as `x.y`")
+    got = neighbour_quality.keep_good(odd, labels)
+    assert got.columns == odd.columns and got.first()["x.y"]["a b"] == 2
+
+
 def test_blocked_votes_are_exact():
     rng = np.random.default_rng(0)
     counts = rng.poisson(0.3, (90, neighbour_quality.TERMS)).astype(np.float32)
