@@ -290,8 +290,9 @@ def _with_main(rows: DataFrame) -> DataFrame:
 def _by_main(rows: DataFrame, small: int = 0) -> DataFrame:
     """Buckets (of ``_with_main``) of more than ``small`` members put together by main component, so that it meets its outsiders once, not in
     every run or list. Buckets of more than DENSE outsiders stay as they are."""
+    rows = stored(rows, "apart")  # read three times
     stay = (F.col("m") + F.col("o") <= small) | (F.col("o") > DENSE)
-    joined = rows.where(~stay).select(F.xxhash64("main", F.lit("main")).alias("path"), "cls", "root").distinct()
+    joined = stored(rows.where(~stay).select(F.xxhash64("main", F.lit("main")).alias("path"), "cls", "root").distinct(), "joined")
     return rows.where(stay).unionByName(_with_main(joined))
 
 
@@ -337,7 +338,7 @@ def _prefix_lists(dense: DataFrame, sets: DataFrame) -> DataFrame:
     told = stored(told.select(F.explode("tokens").alias("token"), "path", "cls", "root").select(F.xxhash64("path", "token").alias("path"), "cls", "root"), "prefixes")
     mark = F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mark")
     lists = told.groupBy("path").agg(F.count(F.lit(1)).alias("n"), mark, F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    return told.join(lists.groupBy("n", "mark").agg(F.min("path").alias("path")).select("path"), "path")
+    return stored(told.join(lists.groupBy("n", "mark").agg(F.min("path").alias("path")).select("path"), "path"), "lists")
 
 
 def components(edges: DataFrame) -> DataFrame:
