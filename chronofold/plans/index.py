@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import os
 import subprocess
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -46,21 +48,38 @@ def layers(raw: DataFrame, mailmap: DataFrame | None = None) -> dict[str, DataFr
     }
 
 
+def refs_of(repository: str) -> list[tuple[str, str, str]]:
+    """(name, kind, target) of every ref that points to a commit."""
+    form = "%(objectname) %(objecttype) %(refname) %(*objectname) %(*objecttype)"
+    text = subprocess.run(["git", "-C", repository, "for-each-ref", f"--format={form}"], capture_output=True, text=True, check=True).stdout
+    return gitlog.parse_refs("\n".join(x.strip() for x in text.splitlines()))
+
+
+def identity_of(repository: str) -> str:
+    """The repository's id: SHA-256 of its root commit and its real path, parted by NUL."""
+    roots = subprocess.run(["git", "-C", repository, "rev-list", "--max-parents=0", "--first-parent", "HEAD"], capture_output=True, text=True, check=True).stdout.split()
+    return hashlib.sha256(f"{roots[-1]}\0{os.path.realpath(repository)}".encode()).hexdigest()
+
+
 def read_tags(spark: SparkSession, repository: str, commits: DataFrame) -> DataFrame:
     """Tags that point to stored commits."""
-    form = "%(objectname) %(objecttype) %(refname) %(*objectname) %(*objecttype)"
-    text = subprocess.run(["git", "-C", repository, "for-each-ref", f"--format={form}", "refs/tags"], capture_output=True, text=True, check=True).stdout
-    refs = [(n.removeprefix("refs/tags/"), oid) for n, kind, oid in gitlog.parse_refs("\n".join(x.strip() for x in text.splitlines())) if kind == "tag"]
+    refs = [(n.removeprefix("refs/tags/"), oid) for n, kind, oid in refs_of(repository) if kind == "tag"]
     rows = spark.createDataFrame(sorted(refs), "name string, oid string")
     return rows.join(commits.select("repo_id", "oid", "commit_id", "committed_at"), "oid").select("repo_id", F.row_number().over(Window.partitionBy("repo_id").orderBy("committed_at", "name")).alias("tag_id"), "name", F.col("commit_id").alias("target_id"), F.col("committed_at").alias("tagged_at"))
 
 
 def index_repository(spark: SparkSession, repository: str, path: str) -> Store:
-    """Walks a repository into a store, all tables, and analyses it."""
+    """Walks a repository into a store, all tables with the hunks, and analyses it. A store of another repository is refused and stays as it is."""
     spark.dataSource.register(gitlog.RepositorySource)
+    spark.dataSource.register(gitlog.HunkSource)
     store = Store(spark, path)
+    claimed = store.meta().get("repo_id")
+    if claimed:
+        store.claim(identity_of(repository))
     store.set_state("walking")
     try:
+        if not claimed:
+            store.claim(identity_of(repository))
         raw = spark.read.format("history").option("repositories", repository).load()
         store.replace("raw_commits", raw)
         raw = store.read("raw_commits")
@@ -69,6 +88,9 @@ def index_repository(spark: SparkSession, repository: str, path: str) -> Store:
         for name, df in layers(raw, mailmap).items():
             store.replace(name, df)
         store.replace("tags", read_tags(spark, repository, store.read("commits")))
+        store.replace("refs", spark.createDataFrame(sorted(refs_of(repository)), "name string, kind string, oid string"))
+        hunks = spark.read.format("history_hunks").option("repositories", repository).load()
+        store.replace("hunks", gitlog.attach_hunks(hunks.drop("repo_id"), store.read("commits"), store.read("changes")))
         store.set_state("analyzing")
         analyse(store)
     except Exception:

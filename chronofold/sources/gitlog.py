@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from chronofold.functions.fixed import HUNK_KINDS
+
 RECORD, FIELD = "\x01", "\x02"
 FIELDS = ["%H", "%T", "%P", "%an", "%ae", "%at", "%ai", "%cn", "%ce", "%ct", "%ci", "%B"]
 FORMAT = "%x01" + "%x02".join(FIELDS) + "%x00"
@@ -173,12 +175,13 @@ def read_hunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def attach_hunks(hunks: DataFrame, commits: DataFrame, changes: DataFrame) -> DataFrame:
-    """Hunks with commit and file: the path is looked up among the commit's new paths, then its old ones. Empty sides become null."""
+    """Hunks with commit and file: the path is looked up among the commit's new paths, then its old ones. Empty sides become null, kinds their numbers."""
     known = hunks.join(commits.select("oid", "commit_id"), "oid")
     names = changes.select("commit_id", "file_id", F.col("new_path").alias("path"), F.lit(0).alias("rank")).unionByName(changes.select("commit_id", "file_id", F.col("old_path").alias("path"), F.lit(1).alias("rank")))
     first = names.where("path is not null").groupBy("commit_id", "path").agg(F.min(F.struct("rank", "file_id")).file_id.alias("file_id"))
     side = lambda start, n: [F.when(F.col(n) > 0, F.col(start)).alias(start), F.when(F.col(n) > 0, F.col(n)).alias(n)]
-    return known.join(first, ["commit_id", "path"]).select("commit_id", "file_id", *side("old_start", "old_len"), *side("new_start", "new_len"), "kind")
+    code = (F.array_position(F.array(*[F.lit(k) for k in HUNK_KINDS]), F.col("kind")) - 1).cast("int").alias("kind")
+    return known.join(first, ["commit_id", "path"]).select("commit_id", "file_id", *side("old_start", "old_len"), *side("new_start", "new_len"), code)
 
 
 def parse_mailmap(text: str) -> list[tuple[str | None, str, str | None, str | None]]:
@@ -269,8 +272,9 @@ class _RepositoryReader(DataSourceReader):
 
     def read(self, partition):
         run = subprocess.Popen(["git", "-C", partition.value, *self.args], stdout=subprocess.PIPE)
-        held, seq = b"", 0
+        held, seq, said = b"", 0, False
         for block in iter(lambda: run.stdout.read(1 << 20), b""):
+            said = said or bool(block.strip())
             *whole, held = (held + block).split(RECORD.encode())
             for raw in whole:
                 if FIELD.encode() in raw:
@@ -278,11 +282,57 @@ class _RepositoryReader(DataSourceReader):
                     seq += 1
         if FIELD.encode() in held:
             yield self._row(partition.value, seq, held)
+            seq += 1
         if run.wait():
             raise RuntimeError(f"git failed in {partition.value}")
+        if said and not seq:
+            raise RuntimeError(f"the log of {partition.value} has no records")
 
     @staticmethod
     def _row(repo: str, seq: int, raw: bytes):
         r = parse_record(raw.decode("utf-8", "replace"))
         person = lambda p: (p["name"], p["email"])
         return (repo, seq, r["oid"], r["tree"], r["parents"], person(r["author"]), person(r["committer"]), r["authored_at"], r["committed_at"], r["authored_tz"], r["committed_tz"], r["message"], [tuple(c.values()) for c in r["changes"]])
+
+
+class HunkSource(DataSource):
+    """Spark source of the hunks of repositories' histories: options repositories (comma-separated), projection. A commit's patch is held at a time."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "history_hunks"
+
+    def schema(self) -> str:
+        return f"repo_id string, {HUNK}"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _HunkReader(self.options)
+
+
+class _HunkReader(DataSourceReader):
+    def __init__(self, options):
+        self.paths = [p for p in options.get("repositories", "").split(",") if p]
+        self.args = hunk_args(options.get("projection", "first-parent"))
+
+    def partitions(self):
+        return [InputPartition(p) for p in self.paths]
+
+    def read(self, partition):
+        run = subprocess.Popen(["git", "-C", partition.value, *self.args], stdout=subprocess.PIPE)
+        names, oid, patch = [x.split()[0] for x in HUNK.split(", ")], None, []
+
+        def told():
+            for hunk in parse_hunks(oid, "\n".join(patch)) if oid else []:
+                yield (partition.value, *(hunk[n] for n in names))
+
+        # Lines of a patch begin with a mark, so a bare id is always the next commit.
+        for raw in run.stdout:
+            line = raw.decode("utf-8", "replace").removesuffix("\n")
+            if re.fullmatch("[0-9a-f]{40}|[0-9a-f]{64}", line):
+                yield from told()
+                oid, patch = line, []
+            else:
+                patch.append(line)
+        yield from told()
+        if run.wait():
+            raise RuntimeError(f"git failed in {partition.value}")

@@ -27,15 +27,20 @@ class IndexError_(Exception):
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's checkpoint folder; one of its own only where none is set (tests)."""
+    """The session's checkpoint folder; one of its own only where none is set and one machine runs all (tests)."""
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not path and not sc.master.startswith("local"):
+            raise IndexError_("NO_SHARED_DIR", "spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(path or "file://" + tempfile.mkdtemp(prefix="chronofold-"))
 
 
 class Store:
-    """Tables below a path. A write goes to a fresh directory that then takes the old one's place, so readers see whole tables."""
+    """Tables below a path. A write goes to a fresh directory that then takes the old one's place, so readers see whole tables.
+
+    The old one is set aside until the new one is in place; a table that a crash left set aside is put back when it is next asked for.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
@@ -49,9 +54,13 @@ class Store:
 
     def exists(self, name: str) -> bool:
         fs, p = self._fs(f"{self.path}/{name}")
-        return fs.exists(p)
+        if fs.exists(p):
+            return True
+        _, aside = self._fs(f"{self.path}/_old-{name}")
+        return fs.exists(aside) and fs.rename(aside, p)
 
     def read(self, name: str) -> DataFrame:
+        self.exists(name)
         return self.spark.read.parquet(f"{self.path}/{name}")
 
     def replace(self, name: str, df: DataFrame) -> None:
@@ -64,9 +73,14 @@ class Store:
         writer.parquet(fresh)
         fs, new = self._fs(fresh)
         _, place = self._fs(f"{self.path}/{name}")
-        fs.delete(place, True)
+        _, aside = self._fs(f"{self.path}/_old-{name}")
+        if self.exists(name):
+            fs.delete(aside, True)
+            if not fs.rename(place, aside):
+                raise IndexError_("INDEX_IO", f"cannot set {name} aside")
         if not fs.rename(new, place):
             raise IndexError_("INDEX_IO", f"cannot put {name} in place")
+        fs.delete(aside, True)
 
     def append(self, name: str, df: DataFrame, key: list[str]) -> None:
         """Adds rows; a key that is there already is an error."""
