@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is missing (as in tests) a temporary folder is made and set.
+    Only where that setting is missing and one machine runs all (as in tests) a temporary folder is made and set.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
@@ -22,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
         held = sc._jsc.sc().getCheckpointDir()
         path = held.get() if held.isDefined() else None
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="chronofold-")
         sc.setCheckpointDir(path)
     return path.rstrip("/")

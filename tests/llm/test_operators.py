@@ -6,6 +6,7 @@ import hashlib
 import os
 import random
 import re
+import warnings
 import zlib
 
 import duckdb
@@ -520,6 +521,31 @@ def test_a_file_holds_one_segment(spark, tmp_path):
 
 
 # -- 9 -----------------------------------------------------------------------------------------------------------
+def test_rates_against_a_plain_projected_gradient(spark):
+    """Against the same steps over all documents at once; the gap that is left is told, and warned of where it is not small."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.4] * 3, 80)
+    tokens = rng.integers(0, 400, 80)
+    digest = spark.createDataFrame([(int(n), x.tolist()) for n, x in zip(tokens, p)], "tokens long, p array<double>")
+    have = tokens @ p
+    for weights, low in (({"a": 0.5, "b": 0.3, "c": 0.2}, 0.0), (None, None), ({"a": 1.0}, 0.5)):  # the last cannot be met
+        with warnings.catch_warnings(record=True) as said:
+            warnings.simplefilter("always")
+            mix = mixing.fit_mixture(digest, ["a", "b", "c"], weights, low)
+        rates = np.array([r[0] for r in digest.select(mixing.rate_of(F.col("p"), mix.steps, mix.low)).collect()])
+        share = np.array([weights.get(d, 0.0) for d in "abc"]) if weights else (have / have.sum()) ** mixing.TEMPER
+        share = share / share.sum()
+        size = have.sum() if low is not None else (have / share).max()
+        assert np.allclose(mix.targets, share * size)
+        plain, least = np.ones(80), 1.0 if low is None else low
+        for _ in range(len(mix.steps)):
+            plain = np.maximum(least, plain - p @ (((plain * tokens) @ p - share * size) / have))
+        assert np.allclose(rates, plain, rtol=1e-6, atol=1e-6)
+        assert abs(mix.error - np.abs((plain * tokens) @ p - share * size).max() / size) < 1e-6
+        assert bool([w for w in said if "off its target" in str(w.message)]) == (mix.error > mixing.TOLERANCE)
+    assert mix.error > 0.01
+
+
 def test_mixing(spark, docs, nothing, rows):
     labelled = docs.selectExpr("text", "lang as domain")
     got = mixing.mixture_rates(docs, labelled)
