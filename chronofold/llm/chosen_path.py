@@ -280,10 +280,14 @@ def _cells(rows: DataFrame) -> DataFrame:
     return rows.select("path", "cls", "root", F.explode(F.when(is_main, with_others).otherwise(F.concat(with_main, apart))).alias("block")).select("path", "block", "cls", "root")
 
 
+def _mains(counts: DataFrame, *more: Column) -> DataFrame:
+    """(path, main, m, o) of counts (path, root, c) where components meet: the largest one, its members and the others."""
+    return counts.groupBy("path").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("m"), (F.sum("c") - F.max("c")).alias("o"), *more).where("o > 0")
+
+
 def _with_main(rows: DataFrame) -> DataFrame:
     """rows (path, cls, root) of the paths where components meet, with the largest one (main), its members (m) and the others (o)."""
-    counts = rows.groupBy("path", "root").agg(F.count(F.lit(1)).alias("c"))
-    main = counts.groupBy("path").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.max("c").alias("m"), (F.sum("c") - F.max("c")).alias("o")).where("o > 0")
+    main = _mains(rows.groupBy("path", "root").agg(F.count(F.lit(1)).alias("c")))
     return rows.join(main, "path").select("path", "cls", "root", "main", "m", "o")
 
 
@@ -326,9 +330,9 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefix_lists(dense: DataFrame, sets: DataFrame) -> DataFrame:
-    """dense (path, cls, root, m, o) dealt to the lists of its prefixes in which components meet: (path, cls, root), a path for each list.
+    """dense (path, cls, root, m, o) dealt to the lists of its prefixes in which components meet: (path, cls, root, main, m, o), a path for each list.
 
-    Lists with the same members are one.
+    Lists with the same members are one. The main component comes from the counts that choose the lists, so members are joined once.
     """
     some = dense.where(F.pmod(F.xxhash64("path", "cls"), F.greatest(F.lit(1), F.floor((F.col("m") + F.col("o")) / 32))) == 0).select("path", "cls")
     common = stored(some.join(sets, "cls").select("path", "sh").repartition("path").sortWithinPartitions("path").mapInArrow(_common, "path long, common binary"), "common")
@@ -336,9 +340,10 @@ def _prefix_lists(dense: DataFrame, sets: DataFrame) -> DataFrame:
     rows = dense.join(sets, "cls").join(F.broadcast(common) if size <= COMMON_BYTES else common, "path", "left")
     told = rows.select("path", "cls", "root", "sh", "common").mapInArrow(_prefixes, "path long, cls long, root long, tokens array<int>")
     told = stored(told.select(F.explode("tokens").alias("token"), "path", "cls", "root").select(F.xxhash64("path", "token").alias("path"), "cls", "root"), "prefixes")
-    mark = F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mark")
-    lists = told.groupBy("path").agg(F.count(F.lit(1)).alias("n"), mark, F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
-    return stored(told.join(lists.groupBy("n", "mark").agg(F.min("path").alias("path")).select("path"), "path"), "lists")
+    counts = told.groupBy("path", "root").agg(F.count(F.lit(1)).alias("c"), F.sum(F.xxhash64("cls").cast("decimal(38,0)")).alias("mark"))
+    lists = _mains(counts, F.sum("mark").alias("mark")).groupBy("m", "o", "mark").agg(F.min(F.struct("path", "main")).alias("list"))
+    return told.join(lists.select("list.path", "list.main", "m", "o"), "path").select("path", "cls", "root", "main", "m", "o")
+
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -414,7 +419,7 @@ def similar_groups(docs: DataFrame, recall: float = RECALL) -> DataFrame:
         dense = split.where(F.col("o") > DENSE)
         cells = _cells(split.where(F.col("o") <= DENSE))
         if not dense.isEmpty():
-            cells = cells.unionByName(_cells(_by_main(_with_main(_prefix_lists(dense, sets)))))
+            cells = cells.unionByName(_cells(_by_main(_prefix_lists(dense, sets))))
         found = stored(components(edges.unionByName(_edges(cells, sets))), "components")
     members = found.join(classes.select("cls", "best", "size"), found["v"] == F.col("cls")).select("root", "cls", "best", "size")
     members = stored(members, "members")

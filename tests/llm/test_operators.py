@@ -409,6 +409,19 @@ def test_prefixes_lose_no_pair():
             assert cut[i] & cut[j]
 
 
+def test_prefix_lists_tell_their_main_component(spark):
+    """The lists come with what ``_with_main`` counts of them, by one join over their members."""
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 1 << 32, 60, dtype=np.uint64).astype(np.uint32)
+    sets = [np.unique(np.concatenate([rng.choice(common, 40, replace=False), rng.integers(0, 1 << 32, 8, dtype=np.uint64).astype(np.uint32)])) for _ in range(90)]
+    rows = spark.createDataFrame([(i % 2, i, i // 3, 3, 42) for i in range(90)], "path long, cls long, root long, m long, o long")
+    lists = chosen_path._prefix_lists(rows, spark.createDataFrame([(i, x.tobytes()) for i, x in enumerate(sets)], "cls long, sh binary"))
+    told = lists._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in lists.select("path", "cls", "root", "main", "m", "o").collect()]
+    want = [tuple(r) for r in chosen_path._with_main(lists.select("path", "cls", "root")).collect()]
+    assert got and same(got, want) and told.count("Join Inner") == 1
+
+
 def test_a_template_stays_in_small_cells(spark, monkeypatch):
     """Many texts of one template at a similarity of about 0.64, and two linked pairs and a linked outlier among them."""
     rng = random.Random(21)
