@@ -75,13 +75,14 @@ class WordEncoder:
         if self.spaces_count:
             plain, between, run, mark = [w for w in words if w and w.isprintable()], "\n", self.tokenizer, self.feed
         else:
-            plain, between, run, mark = [w for w in words if w.isalpha() and max(w) < LATIN_END], f" {MARK} ", self.merges, self.mark
+            # Most words are ASCII, whose bytes are written as they are; the others stand apart, as translating a text is slow.
+            plain, between, run, mark = [w for w in words if w.isalpha() and (w.isascii() or max(w) < LATIN_END)], f" {MARK} ", self.merges, self.mark
         out: dict[str, bytes] = {}
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
+        ascii_only, other = [w for w in plain if w.isascii()], [w for w in plain if not w.isascii()]
+        for some in [x[i : i + 2000] for x in (ascii_only, other) for i in range(0, len(x), 2000)]:
             text = "".join([lead + w + between for w in some])
             if not self.spaces_count:
-                text = text.lower().encode().decode("latin-1").translate(BYTE_CHARS)
+                text = text.lower() if text.isascii() else text.lower().encode().decode("latin-1").translate(BYTE_CHARS)
             ids = np.array(run.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
             raw, at = ids.tobytes(), 0
             for w, cut in zip(some, (np.flatnonzero(ids == mark) * 4).tolist(), strict=True):

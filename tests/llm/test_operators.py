@@ -16,7 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chronofold.llm import chosen_path, exact_dedup, line_rules, mixing, neighbour_quality, packing, secret_scan, suffix_dedup, token_files, url_filter
+from chronofold.llm import chosen_path, encoding, exact_dedup, line_rules, mixing, neighbour_quality, packing, secret_scan, suffix_dedup, token_files, url_filter
 from chronofold.llm.encoding import WordEncoder
 
 BYTES, WORDS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
@@ -519,6 +519,24 @@ def test_ids_of_random_texts_are_the_librarys(path, spaces):
         assert [x.tolist() for x in e.encode(some)] == [library.encode(x, add_special_tokens=False).ids for x in some]
 
 
+def test_few_words_are_translated(monkeypatch):
+    """Words beyond ASCII are written by bytes in texts of their own; ids are the library's."""
+    rng = random.Random(12)
+    plain = ["".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(5000)]
+    words = [w + "é" if i % 10 == 0 else w for i, w in enumerate(plain)]
+    seen = []
+
+    class Chars(dict):
+        def __getitem__(self, k):
+            seen.append(k)
+            return super().__getitem__(k)
+
+    monkeypatch.setattr(encoding, "BYTE_CHARS", Chars(encoding.BYTE_CHARS))
+    got = WordEncoder(WORDS, False).encode([" ".join(words)])[0].tolist()
+    assert got == Tokenizer.from_file(WORDS).encode(" ".join(words), add_special_tokens=False).ids
+    assert len(seen) < sum(map(len, words)) / 3
+
+
 def test_token_files_refuse_a_width_that_ids_do_not_fit(docs, spark):
     with pytest.raises(ValueError, match="fit"):
         token_files.write_token_files(docs, "/nonexistent", WORDS, False, width=1)
