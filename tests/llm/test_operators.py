@@ -675,6 +675,36 @@ def test_least_ids_in_blocks(monkeypatch):
         assert got.tolist() == [want[p[k : k + 50]] for p, _ in pieces for k in range(len(p) - 49)]
 
 
+def test_ids_of_a_message_are_short():
+    top, low = np.iinfo(np.int64).max, np.iinfo(np.int64).min
+    for ids, size in (([7], 9), ([-3, 4, 200], 11), ([10**12, 10**12 + 60_000], 12), ([5, 1 << 20], 16), ([low, 0, top], 32)):
+        raw = suffix_dedup.packed_ids(np.array(ids, np.int64))
+        assert len(raw) == size and suffix_dedup.unpacked_ids(raw, len(ids)).tolist() == ids
+
+
+def test_answered_messages_leave_the_disk(spark):
+    """Shuffle files of the messages go while the operator runs, not when the driver happens to collect its garbage."""
+    import gc
+    import time
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = [f for f in blocks.getAllFiles().mkString("|").split("|") if f.endswith(".data") and os.path.exists(f)]
+        return sum(os.path.getsize(f) for f in files)
+
+    rng = random.Random(3)
+    passages = [sentence(rng, 40) for _ in range(60)]
+    frame = spark.createDataFrame([(i, " ".join(rng.choices(passages, k=20))) for i in range(400)], "doc_id long, text string")
+    gc.collect()
+    spark._jvm.System.gc()
+    time.sleep(3)
+    before = held()
+    suffix_dedup.remove_repeats(frame, chunk_bytes=20_000, range_bytes=50_000)
+    time.sleep(3)
+    assert held() - before < 500_000
+
+
 def test_multikey_order():
     rng = np.random.default_rng(4)
     data = np.frombuffer(bytes(rng.integers(97, 99, 400, dtype=np.uint8)) * 2 + bytes(8), np.uint8)
