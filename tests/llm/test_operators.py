@@ -705,6 +705,45 @@ def test_answered_messages_leave_the_disk(spark):
     assert held() - before < 500_000
 
 
+def test_runs_are_sent_in_passes(spark, monkeypatch):
+    """Where runs are longer than the corpus they go in passes: the disk never holds all messages, and what is removed stays the same."""
+    import time
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def held():
+        files = [f for f in blocks.getAllFiles().mkString("|").split("|") if f.endswith(".data") and os.path.exists(f)]
+        return {f: os.path.getsize(f) for f in files}
+
+    written, store = [], suffix_dedup.stored
+
+    def watched(df, name, *rest):
+        if name != "windows":
+            return store(df, name, *rest)
+        time.sleep(3)  # files go in the background
+        before = held()
+        out = store(df, name, *rest)
+        after = held()
+        written.append((sum(after.values()), sum(n for f, n in after.items() if f not in before)))
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "stored", watched)
+    rng = random.Random(3)
+    passages = [sentence(rng, 40) for _ in range(60)]
+    known = [(i, " ".join(rng.choices(passages, k=20))) for i in range(100)]
+    frame = spark.createDataFrame(known, "doc_id long, text string")
+    base = sum(held().values())
+    got = suffix_dedup.remove_repeats(frame, chunk_bytes=20_000, range_bytes=50_000).drop("spans").collect()
+    assert max(x for x, _ in written) - base < 0.7 * sum(x for _, x in written)
+    assert same(got, removed(known))
+
+
+@pytest.mark.parametrize("hot", [64, 2])
+def test_suffix_dedup_in_many_passes(docs, rows, hot):
+    got = suffix_dedup.remove_repeats(docs, chunk_bytes=3000, range_bytes=8000, hot=hot, pass_share=0.2).drop("spans").collect()
+    assert same(got, removed(plain(rows)))
+
+
 def test_multikey_order():
     rng = np.random.default_rng(4)
     data = np.frombuffer(bytes(rng.integers(97, 99, 400, dtype=np.uint8)) * 2 + bytes(8), np.uint8)
