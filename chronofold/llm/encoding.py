@@ -8,6 +8,7 @@ the tokenizer on whole texts.
 
 from __future__ import annotations
 
+import ctypes
 import os
 
 import numpy as np
@@ -181,3 +182,14 @@ def encoder(path: str, spaces_count: bool) -> WordEncoder:
     if (path, spaces_count) not in _ENCODERS:
         _ENCODERS[path, spaces_count] = WordEncoder(path, spaces_count)
     return _ENCODERS[path, spaces_count]
+
+
+def forget() -> None:
+    """Drops this process's encoders and gives their memory back to the system.
+
+    Spark's Python workers outlive a stage, so tasks that encode nothing call it: else caches stay beside what they need.
+    """
+    if _ENCODERS:
+        _ENCODERS.clear()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc keeps most of it otherwise
+            trim(0)

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from chronofold.llm.encoding import forget
 from chronofold.llm.line_rules import WHITE, span_hashes
 from chronofold.llm.shared import text_of
 
@@ -142,6 +143,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     rows = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(sample), "doc_id")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for i in range(batch.num_rows):
                 c = term_counts([batch.column(1)[i].as_py().encode()])[0]
@@ -158,14 +160,16 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABE
     return Model(counts, np.array([r["quality"] for r in packed]), 0.5 if shares is None else float(shares))
 
 
-def _scored(docs: DataFrame, model: Model, text: Column, carried: list[Column]) -> DataFrame:
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*carried, text.alias("_text"))
-    names = rows.columns[:-1]
+def _scored(rows: DataFrame, model: Model, field: int | None = None) -> DataFrame:
+    """rows with their scores. The last column is the text, which goes; with field it is a struct that has the text there and stays."""
+    held = rows.sparkSession.sparkContext.broadcast(model)
+    names = rows.columns[:-1] if field is None else rows.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).cast(pa.binary())
+            last = batch.column(batch.num_columns - 1)
+            texts = (last if field is None else last.field(field)).cast(pa.binary()).fill_null(b"")
             sizes = np.cumsum([len(x.as_buffer()) + 2 for x in texts])
             at = 0
             while at < len(texts):
@@ -175,13 +179,13 @@ def _scored(docs: DataFrame, model: Model, text: Column, carried: list[Column])
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(at, end - at) for i in range(len(names))], pa.array(scores)], names=[*names, "score"])
                 at = end
 
-    return rows.mapInArrow(score, StructType([*rows.schema.fields[:-1], StructField("score", DoubleType())]))
+    return rows.mapInArrow(score, StructType([*rows.schema.fields[: len(names)], StructField("score", DoubleType())]))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
     model = fit_quality(docs, labels, max_labelled)
-    scored = _scored(docs, model, text_of(), [F.col("doc_id")])
+    scored = _scored(docs.select("doc_id", text_of().alias("_text")), model)
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -189,4 +193,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELL
     """The rows of docs with a score of 0.5 or more, all columns."""
     model = fit_quality(docs, labels, max_labelled)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    return _scored(docs, model, text_of(), [row]).where("score >= 0.5").select("row.*")
+    # The text goes to Python once, within its row.
+    at = next(i for key in (str, str.lower) for i, c in enumerate(docs.columns) if key(c) == "text")
+    return _scored(docs.select(row), model, at).where("score >= 0.5").select("row.*")

@@ -29,14 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronofold.llm.encoding import encoder
-from chronofold.llm.shared import stored, text_of
+from chronofold.llm.shared import arrow_rows, stored, text_of
 
 CAPACITY = 1024
 #: Lengths up to this share of the capacity are small.
 SMALL_SHARE = 1 / 16
 GROUPS = 96
 END_ID = 2
-ROWS = 1024
+#: Texts that are split into words at once, and those of a batch from the JVM: they stand in memory beside the encoder's cache.
+ROWS, BATCH_ROWS = 256, 1024
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
 
 
@@ -238,7 +239,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     shorter. A missing text is the empty one (a piece of one id), a missing doc_id stays missing; equal rows are packed
     each for itself. An empty table gives no rows.
     """
-    pieces = stored(_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        pieces = stored(_pieces(docs, tokenizer_path, capacity, end_id), "pieces")
     parts = pieces.groupBy("part", "length").count()
     # At most ``capacity`` rows reach the driver.
     histogram = {int(r["length"]): int(r["n"]) for r in parts.groupBy("length").agg(F.sum("count").alias("n")).collect()}

@@ -213,7 +213,57 @@ def test_blocked_votes_are_exact():
     assert np.allclose(m.scores(some), want, atol=1e-4)
 
 
+def test_quality_tasks_get_a_text_once_and_drop_encoders(spark, labels, monkeypatch):
+    """Workers still have the words of an earlier packing; rows with their texts pass to Python once."""
+    docs = spark.createDataFrame([(i, None if i == 3 else f"{i} " + "some words of it " * 500) for i in range(20)], "doc_id long, Text string")
+    seen, plain = [], type(docs).mapInArrow
+
+    def spy(self, f, schema, *a):
+        seen.append((self, f))
+        return plain(self, f, schema, *a)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", spy)
+    kept = neighbour_quality.keep_good(docs, labels).collect()
+    monkeypatch.undo()
+    want = {r["doc_id"] for r in neighbour_quality.quality_scores(docs, labels).collect() if r["predicted"]}
+    assert {r["doc_id"] for r in kept} == want and all((r["Text"] is None) == (r["doc_id"] == 3) for r in kept)
+    rows, score = seen[-1]
+    table = rows.toArrow().combine_chunks()
+    assert table.nbytes < 1.5 * sum(len(r["Text"] or "") for r in docs.collect())
+    for _, f in seen:
+        monkeypatch.setattr(encoding, "_ENCODERS", {})
+        encoding.encoder(BYTES, True).encode(["words that stay"])
+        list(f(iter([])))
+        assert not encoding._ENCODERS
+    assert sum(b.num_rows for b in score(iter(table.to_batches()))) == 20
+
+
 # -- 4 -----------------------------------------------------------------------------------------------------------
+def test_forgotten_words_leave_memory(monkeypatch):
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", f.read()))) / 1024
+
+    monkeypatch.setattr(encoding, "_ENCODERS", {})
+    rng = random.Random(3)
+    some = [" ".join("".join(rng.choices("abcdefghijklmnop", k=9)) for _ in range(1000)) for _ in range(300)]
+    before = held()
+    ids = [encoding.encoder(BYTES, True).encode_bytes([x])[0] for x in some]
+    full = held()
+    encoding.forget()
+    assert held() - before < 0.5 * (full - before)
+    assert encoding.encoder(BYTES, True).encode_bytes(some[:5]) == ids[:5]
+    encoding.forget()
+
+
+def test_packing_takes_few_texts_at_once(spark, docs, monkeypatch):
+    key, seen, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", [], packing.stored
+    monkeypatch.setattr(packing, "stored", lambda *a: (seen.append(int(spark.conf.get(key))), plain(*a))[1])
+    before = spark.conf.get(key)
+    packing.pack_documents(docs, BYTES)
+    assert seen == [packing.BATCH_ROWS] and packing.ROWS <= packing.BATCH_ROWS <= 1024 and spark.conf.get(key) == before
+
+
 def test_packing(docs, nothing, rows):
     encode, want = tokens(BYTES), []
     for i, x in plain(rows):
