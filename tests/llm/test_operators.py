@@ -794,6 +794,28 @@ def test_suffix_dedup_in_many_passes(docs, rows, hot):
     assert same(got, removed(plain(rows)))
 
 
+def test_suffix_dedup_never_shuffles_texts(spark, docs, rows, monkeypatch):
+    """Answers that are too many for one broadcast go to one part of the chunks after another; chunks are not sorted or shuffled to them."""
+    plans, store = [], suffix_dedup.stored
+
+    def watched(df, name, *rest):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return store(df, name, *rest)
+
+    monkeypatch.setattr(suffix_dedup, "stored", watched)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(suffix_dedup, "WEIGHED", 10_000)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = suffix_dedup.remove_repeats(docs, chunk_bytes=3000, range_bytes=8000).drop("spans").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert same(got, removed(plain(rows)))
+    assert not [name for name, plan in plans if "SortMergeJoin" in plan or "ShuffledHashJoin" in plan]
+    assert sum(name == "marked" for name, _ in plans) > 1
+
+
 def test_multikey_order():
     rng = np.random.default_rng(4)
     data = np.frombuffer(bytes(rng.integers(97, 99, 400, dtype=np.uint8)) * 2 + bytes(8), np.uint8)
