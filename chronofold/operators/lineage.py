@@ -267,7 +267,7 @@ def sightings_of(commits: DataFrame, mailmap: DataFrame | None = None) -> DataFr
     mailmap (name, email, to_name, to_email; null name: any; null to_*: unchanged) is small and joined by broadcast: an entry with the
     commit's name beats one without.
     """
-    trailers = C.message_parts(F.col("message"))["trailers"]
+    trailers = C.trailers_of(F.col("message"))
 
     def row(who: Column, at: str, role: str, seq: int) -> Column:
         return F.struct(who["name"].alias("name"), who["email"].alias("email"), F.col(at).alias("seen_at"), F.lit(role).alias("role"), F.lit(seq).alias("role_seq"))

@@ -329,3 +329,17 @@ def test_reverts_of_common_subjects(spark):
     found = E.revert_pairs_by_message(messages, changes)
     assert {tuple(r) for r in found.collect()} == {(i, i - 1) for i in range(3, 401, 2)} | {(501, 500), (502, 400)}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_trailers_are_those_of_the_whole_message(spark):
+    """Only the last paragraph is looked at, and the trailers are the same as of a message that is taken apart whole."""
+    from chronofold.functions import columns as C
+
+    rng = random.Random(8)
+    parts = ["a", "Key: v", "pr-url: x/pull/7", "\n", "\n\n", "\r\n", "\r\n\r\n", " more", "\n\n\n", "text: not\nA: b", " ", "\t", "", "\n \n", "X-Y: é\n  folded", "\x0b"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 7))) for _ in range(1500)] + [None]
+    frame = spark.createDataFrame([(t,) for t in texts], "message string")
+    got = frame.select("message", C.message_parts(F.col("message"))["trailers"].alias("a"), C.trailers_of(F.col("message")).alias("b")).collect()
+    assert all((r["a"] or []) == (r["b"] or []) for r in got) and sum(bool(r["b"]) for r in got) > 100
+    plan = E.references(frame.select(F.lit(1).alias("commit_id"), "message", F.lit("s").alias("subject")))._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(regexp_replace(rtrim" not in plan.lower()
