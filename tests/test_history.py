@@ -343,3 +343,11 @@ def test_trailers_are_those_of_the_whole_message(spark):
     assert all((r["a"] or []) == (r["b"] or []) for r in got) and sum(bool(r["b"]) for r in got) > 100
     plan = E.references(frame.select(F.lit(1).alias("commit_id"), "message", F.lit("s").alias("subject")))._jdf.queryExecution().optimizedPlan().toString()
     assert "split(regexp_replace(rtrim" not in plan.lower()
+
+
+def test_evidence_is_ranked_in_one_shuffle_by_target(spark):
+    items = spark.createDataFrame([("t", k, c, p, s) for c in (1, 2, 3) for k, p, s in (("blame", 0.5, "observed"), ("commit-context", 0.5, "observed"), ("pr-reference", 0.8, "observed"))], "target string, kind string, commit_id long, proximity double, confidence string")
+    commits = spark.createDataFrame([(1, 0), (2, DAY), (3, 2 * DAY)], "commit_id long, authored_at long")
+    ranked = E.rank_evidence(items, commits, F.lit(2 * DAY))
+    assert [(r["label"], r["kind"], r["commit_id"]) for r in ranked.orderBy("label").collect()] == [("E1", "pr-reference", 3), ("E2", "pr-reference", 2), ("E3", "pr-reference", 1)]
+    assert ranked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(target") == 1
