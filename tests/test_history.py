@@ -351,3 +351,9 @@ def test_evidence_is_ranked_in_one_shuffle_by_target(spark):
     ranked = E.rank_evidence(items, commits, F.lit(2 * DAY))
     assert [(r["label"], r["kind"], r["commit_id"]) for r in ranked.orderBy("label").collect()] == [("E1", "pr-reference", 3), ("E2", "pr-reference", 2), ("E3", "pr-reference", 1)]
     assert ranked._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(target") == 1
+
+
+def test_pieces_without_words_are_no_sentences(spark):
+    said = [(1, "[E1] Ñó. One word. Two words. Three."), (2, "[E1] "), (3, "One. [E1]"), (4, "[E1] ?! One."), (5, "One [E1]. [E1]"), (6, "One. [E1] Two.")]
+    answers = spark.createDataFrame([(i, t, ["E1"], [t]) for i, t in said], "id long, text string, labels array<string>, sources array<string>")
+    assert {r["id"]: r["ratio"] for r in E.check_citations(answers).collect()} == {1: 0.333333, 2: 0.0, 3: 1.0, 4: 1.0, 5: 1.0, 6: 0.5}
