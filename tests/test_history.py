@@ -393,3 +393,20 @@ def test_squarify_looks_at_each_size_once():
     began = time.process_time()
     assert len(E.squarify([1.0] * 300_000, 0.0, 0.0, 1000.0, 1000.0)) == 300_000
     assert time.process_time() - began < 20
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_ancestors_part_by_part(spark, ordered):
+    """Parts of eight ids, edges across many of them, parents without edges of their own, two repositories; ids in any order still work."""
+    rng = random.Random(5)
+    edges = {(r, c, c - rng.choice((1, 1, 3, 7, 40))) for r in "ab" for c in range(-30, 200) if rng.random() < 0.8 for _ in range(rng.choice((1, 2)))}
+    edges |= set() if ordered else {("a", 3, 90)}
+    start = [("a", 150), ("a", 60), ("b", 77), ("c", 5)]
+    want = set(start)
+    while more := {(r, p) for r, c, p in edges if (r, c) in want} - want:
+        want |= more
+    parents = spark.createDataFrame(sorted(edges), "repo_id string, child_id long, parent_id long")
+    found = lookups.ancestors_by_repository(parents, spark.createDataFrame(start, "repo_id string, commit_id long"), bits=3)
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert ("FlatMapCoGroups" in found._jdf.queryExecution().optimizedPlan().toString()) != ordered
