@@ -6,10 +6,13 @@ repository; repositories run in parallel. A history is bounded by its repository
 
 from __future__ import annotations
 
+import itertools
+import math
 import re
-
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -170,6 +173,50 @@ def _bot(name: str, email: str) -> bool:
     return _name(name) in V.MERGE_QUEUES or hit(V.BOT_EMAILS, email) or hit(V.BOT_NAMES, name)
 
 
+class Away:
+    """Times of activity of people by number, and who was not active at a time: a tree of the latest first and the earliest last times."""
+
+    def __init__(self):
+        self.size, self.count = 1, 0
+        self.first, self.last = [-math.inf] * 2, [math.inf] * 2
+
+    def set(self, i: int, first: float, last: float) -> None:
+        while i >= self.size:
+            n, f, z = self.size, self.first, self.last
+            self.size, self.first, self.last = 2 * n, [-math.inf] * (4 * n), [math.inf] * (4 * n)
+            for k in range(n):
+                self._put(k, f[n + k], z[n + k])
+        self._put(i, first, last)
+
+    def _put(self, i: int, first: float, last: float) -> None:
+        f, z, i = self.first, self.last, i + self.size
+        f[i], z[i] = first, last
+        while i > 1:
+            i >>= 1
+            a, b = max(f[2 * i], f[2 * i + 1]), min(z[2 * i], z[2 * i + 1])
+            if f[i] == a and z[i] == b:
+                break
+            f[i], z[i] = a, b
+
+    def next(self, start: int, before: float, after: float) -> int | None:
+        """The first from ``start`` on who was first seen behind ``before`` or last seen ahead of ``after``."""
+        if start >= self.size:
+            return None
+        f, z, n, i = self.first, self.last, self.size, start + self.size
+        while True:
+            if f[i] > before or z[i] < after:
+                while i < n:
+                    i *= 2
+                    if not (f[i] > before or z[i] < after):
+                        i += 1
+                return i - n
+            while i & 1:
+                i >>= 1
+            if not i:
+                return None
+            i += 1
+
+
 class Directory:
     """The people of one repository, as sightings come in order.
 
@@ -182,9 +229,18 @@ class Directory:
         self.people: list[dict] = []
         self.by_email: dict[str, int] = {}
         self.by_name: dict[tuple[str, str], int] = {}
+        self.known: dict[tuple[str, str], int] = {}
+        self.away = Away()
 
     def see(self, name: str, email: str, to_name: str, to_email: str, at: int, role: str) -> int:
         mapped = (to_name, to_email) != (name, email)
+        if not mapped and (who := self.known.get((name, email))) is not None:  # found by its own address before: only times and counts change
+            p = self.people[who]
+            if at < p["first"] or at > p["last"]:
+                p["first"], p["last"] = min(p["first"], at), max(p["last"], at)
+                self._active(who, p)
+            p["commits"] += role in ("author", "co-author")
+            return who + 1
         exact, plain, key = to_email.strip().lower(), _email(to_email), _name(to_name)
         domain = plain.rpartition("@")[2] if "@" in plain else ""
         if exact in self.by_email:
@@ -199,7 +255,7 @@ class Directory:
         source = "mailmap" if mapped and rule in ("exact-email", "normalized-email") else rule
         if who is None:
             who = len(self.people)
-            self.people.append({"name": to_name, "email": to_email, "first": at, "last": at, "commits": 0, "source": "mailmap" if mapped else "exact-email", "bot": False, "identities": []})
+            self.people.append({"name": to_name, "email": to_email, "first": at, "last": at, "commits": 0, "source": "mailmap" if mapped else "exact-email", "bot": False, "identities": {}})
         else:
             p = self.people[who]
             if source == "mailmap" or (p["source"] != "mailmap" and V.MERGE_SOURCES.index(source) > V.MERGE_SOURCES.index(p["source"])):
@@ -212,17 +268,25 @@ class Directory:
         p = self.people[who]
         if mapped:
             p["name"], p["email"] = to_name, to_email
-        if (name, email) not in p["identities"]:
-            p["identities"].append((name, email))
+        p["key"] = _name(p["name"])
+        identity = (name, email)
+        p["identities"].setdefault(identity)
+        if not mapped and rule == "exact-email":
+            self.known[identity] = who
         p["first"], p["last"] = min(p["first"], at), max(p["last"], at)
         p["commits"] += role in ("author", "co-author")
         p["bot"] = p["bot"] or _bot(name, email)
+        self._active(who, p)
         return who + 1
 
+    def _active(self, who: int, p: dict) -> None:
+        """Bots are never taken for another."""
+        self.away.set(who, *((-math.inf, math.inf) if p["bot"] else (p["first"], p["last"])))
+
     def _similar(self, key: str, at: int) -> int | None:
-        for i, p in enumerate(self.people):
-            away = at < p["first"] - V.OVERLAP_SECONDS or at > p["last"] + V.OVERLAP_SECONDS
-            if not p["bot"] and away and C.jaro_winkler(key, _name(p["name"])) >= V.NAME_SIMILARITY:
+        i = -1
+        while (i := self.away.next(i + 1, at + V.OVERLAP_SECONDS, at - V.OVERLAP_SECONDS)) is not None:
+            if C.jaro_winkler(key, self.people[i]["key"]) >= V.NAME_SIMILARITY:
                 return i
         return None
 
@@ -230,10 +294,13 @@ class Directory:
 PEOPLE = "repo_id string, person_id long, canonical_name string, canonical_email string, first_seen long, last_seen long, commit_count long, merge_source string, is_bot boolean, name string, email string"
 
 
-def _sightings(pdf: pd.DataFrame) -> tuple[Directory, list[int]]:
-    d = Directory()
-    cols = ("name", "email", "to_name", "to_email", "seen_at", "role")
-    return d, [d.see(n, e, tn, te, int(at), role) for n, e, tn, te, at, role in zip(*(pdf[c] for c in cols))]
+_SEEN = ("name", "email", "to_name", "to_email", "seen_at", "role")
+
+
+def _by_repository(sightings: DataFrame) -> DataFrame:
+    """In order (commit, co-authors (0), author (1), committer (2)), all of a repository in one task, which lets them pass."""
+    tasks = int(sightings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sightings.repartition(tasks, "repo_id").sortWithinPartitions("repo_id", "commit_id", "role_seq", "ordinal")
 
 
 def resolve_people(sightings: DataFrame) -> DataFrame:
@@ -242,23 +309,46 @@ def resolve_people(sightings: DataFrame) -> DataFrame:
     Order: commit, then co-authors (0), author (1), committer (2).
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["commit_id", "role_seq", "ordinal"], kind="stable")
-        return pdf.assign(person_id=_sightings(pdf)[1])
+    def fold(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        repo, d = None, Directory()
+        for pdf in parts:
+            who = []
+            for r, *seen in zip(pdf["repo_id"], *(pdf[c] for c in _SEEN)):
+                if r != repo:
+                    repo, d = r, Directory()
+                who.append(d.see(*seen[:4], int(seen[4]), seen[5]))
+            yield pdf.assign(person_id=who)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sightings.schema.fields) + ", person_id long"
-    return sightings.groupBy("repo_id").applyInPandas(fold, schema)
+    return _by_repository(sightings).mapInPandas(fold, schema)
 
 
 def people(sightings: DataFrame) -> DataFrame:
     """One row for each identity of each person."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, _ = _sightings(pdf.sort_values(["commit_id", "role_seq", "ordinal"], kind="stable"))
-        rows = [(pdf["repo_id"].iloc[0], i + 1, p["name"], p["email"], p["first"], p["last"], p["commits"], p["source"], p["bot"], n, e) for i, p in enumerate(d.people) for n, e in p["identities"]]
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in PEOPLE.split(", ")])
-
-    return sightings.groupBy("repo_id").applyInPandas(fold, PEOPLE)
+    names = [x.split()[0] for x in PEOPLE.split(", ")]
+
+    def rows(repo: str, d: Directory) -> Iterator[pd.DataFrame]:
+        out = ((repo, i + 1, p["name"], p["email"], p["first"], p["last"], p["commits"], p["source"], p["bot"], n, e) for i, p in enumerate(d.people) for n, e in p["identities"])
+        while some := list(itertools.islice(out, 10_000)):
+            yield pd.DataFrame(some, columns=names)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        repo, d = None, Directory()
+        for batch in batches:
+            for r, n, e, tn, te, at, role in zip(*(c.to_pylist() for c in batch.columns)):
+                if r != repo:
+                    yield from rows(repo, d)
+                    repo, d = r, Directory()
+                d.see(n, e, n if tn is None else tn, e if te is None else te, at, role)
+        yield from rows(repo, d)
+
+    # What a mailmap leaves as it is does not travel twice.
+    narrow = [F.nullif(F.col(f"to_{c}"), F.col(c)).alias(f"to_{c}") for c in ("name", "email")]
+    ordered = _by_repository(sightings.select("repo_id", "commit_id", "role_seq", "ordinal", "name", "email", *narrow, F.col("seen_at").cast("long").alias("seen_at"), "role"))
+    types = {"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_()}
+    schema = pa.schema([(x.split()[0], types[x.split()[1]]) for x in PEOPLE.split(", ")])
+    emit = lambda batches: (pa.RecordBatch.from_pandas(pdf, schema=schema, preserve_index=False) for pdf in fold(batches))
+    return ordered.select("repo_id", *_SEEN).mapInArrow(emit, PEOPLE)
 
 
 def sightings_of(commits: DataFrame, mailmap: DataFrame | None = None) -> DataFrame:

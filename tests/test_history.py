@@ -410,3 +410,26 @@ def test_ancestors_part_by_part(spark, ordered):
     got = [tuple(r) for r in found.collect()]
     assert set(got) == want and len(got) == len(want)
     assert ("FlatMapCoGroups" in found._jdf.queryExecution().optimizedPlan().toString()) != ordered
+
+
+def test_people_are_found_without_going_through_all():
+    """Who is similar and away is found as by going through all people in order, with few comparisons of names."""
+    from chronofold.functions import columns as C
+
+    class Plain(lineage.Directory):
+        def _similar(self, key, at):
+            for i, p in enumerate(self.people):
+                away = at < p["first"] - 30 * DAY or at > p["last"] + 30 * DAY
+                if not p["bot"] and away and C.jaro_winkler(key, p["key"]) >= 0.92:
+                    return i
+
+    rng = random.Random(2)
+    names = [f"{a}#{i:04d}{b}" for i in range(250) for a, b in (("Customer", ""), ("Helper", "[bot]" if i % 9 == 0 else ""), (rng.choice("xyzw") * 9, ""))]
+    seen = [(n, f"{n}{rng.randrange(3)}@x.org", rng.randrange(2000) * DAY) for n in rng.choices(names, k=4000)]
+    a, b = lineage.Directory(), Plain()
+    assert [see(a, *s) for s in seen] == [see(b, *s) for s in seen] and a.people == b.people
+    away = lineage.Away()
+    for i in range(5000):
+        away.set(i, 0, 100)
+    away.set(4321, 50, 60)
+    assert away.next(0, 40, -1) == 4321 and away.next(4322, 40, -1) is None
