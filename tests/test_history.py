@@ -433,3 +433,13 @@ def test_people_are_found_without_going_through_all():
         away.set(i, 0, 100)
     away.set(4321, 50, 60)
     assert away.next(0, 40, -1) == 4321 and away.next(4322, 40, -1) is None
+
+
+def test_tasks_of_coupling_grow_with_the_changes(spark, monkeypatch):
+    changes = spark.createDataFrame([(c, f) for c in range(200) for f in (c % 5, 5 + c % 3, 9)], "commit_id long, file_id long")
+    want = {tuple(r) for r in R.coupling(changes).collect()}
+    monkeypatch.setattr(R, "CHANGES_PER_TASK", 50)
+    found = R.coupling(changes)
+    assert {tuple(r) for r in found.collect()} == want and len(want) == 5 * 3 + 5 + 3
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(commit_id#" in plan and plan.count(", 12), REPARTITION_BY_NUM") >= 2
