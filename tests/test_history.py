@@ -443,3 +443,16 @@ def test_tasks_of_coupling_grow_with_the_changes(spark, monkeypatch):
     assert {tuple(r) for r in found.collect()} == want and len(want) == 5 * 3 + 5 + 3
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(commit_id#" in plan and plan.count(", 12), REPARTITION_BY_NUM") >= 2
+
+
+def test_texts_do_not_travel_for_significance(spark):
+    import re
+
+    c, x = tables(spark, [(i, i % 3, 5, 5, False) for i in range(9)], [(i, 1, i, "Subject %d" % (i % 2), True, 1) for i in range(9)])
+    files = spark.createDataFrame([(i, f"src/{i}.rs") for i in range(3)], "file_id long, path string")
+    parents = spark.createDataFrame([(1, 0, 0)], "child_id long, parent_id long, ordinal int")
+    tags = spark.createDataFrame([], "tag_id long, name string, target_id long, tagged_at long")
+    plan = R.significance(c, x, files, parents, tags)._jdf.queryExecution()
+    told = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(plan, "formatted")
+    sent = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*?)\]", told)
+    assert sent and not [s for s in sent if re.search(r"(^|, )subject#", s)], sent
