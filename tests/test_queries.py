@@ -63,3 +63,8 @@ def test_order_of_partitions_does_not_matter(spark, data_dir):
 
 def test_doubles_are_finite(spark, data_dir):
     assert all(math.isfinite(r["score"]) for r in entry_points.queries()["hotspots"](spark, data_dir).collect())
+
+
+def test_islands_judge_only_their_own_commits(spark, data_dir):
+    plan = entry_points.queries()["knowledge_islands"](spark, data_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi, (commit_id#" in plan
